@@ -1,16 +1,20 @@
 """The queries of this subpackage and the SQL that must return the same rows, where SQL can."""
 
-from changeweave.llm import chat, exact_dedup, mixing, url_filter
+from changeweave.llm import chat, decontaminate, exact_dedup, mixing, substring_dedup, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_url_filters": url_filter.op3_url_filters,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op3_url_filters": url_filter.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
