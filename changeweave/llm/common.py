@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +24,32 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder of spark.checkpoint.dir; only where it is unset (tests) to a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared checkpoint folder."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; only where it is unset (tests) a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows read from a table written in the shared folder: lineage ends there, and nothing runs twice."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/changeweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._changeweave_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind ``written``, once nothing will read it."""
+    path = df.__dict__.pop("_changeweave_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def crc_bucket(id_col: Column, n: int) -> Column:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that must return the same rows, where SQL can."""
 
-from changeweave.llm import chat, decontaminate, exact_dedup, mixing, substring_dedup, url_filter
+from changeweave.llm import chat, decontaminate, exact_dedup, mixing, near_dedup, substring_dedup, url_filter
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
@@ -17,4 +18,5 @@ ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op10_minhash_near_dedup": near_dedup.ORACLE,
 }
