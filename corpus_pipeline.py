@@ -1,13 +1,58 @@
-"""The corpus pipeline: five stages over documents, each written and read again by its caller."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by its caller.
+
+Every stage works on all that its predecessor kept and returns the columns of documents; the mix adds
+``repetition``. Near-duplicates are judged on five-word shingles at a similarity of 0.8 or more.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from changeweave.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
+from changeweave.llm.common import table
+
+NEAR_PERCENT = 80
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon model, learned from the labels, predicts toxic go."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for blanks, one row stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near-duplicates, the document of the smallest id stays."""
+    return near_dedup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with windows of two benchmark items or more go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources in their target shares; a document appears as many times as the mix takes it."""
+    return mixing.mix_rows(docs)
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact dedup", without_copies),
+    ("MinHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed),
+]
+
+#: Toxicity is a trained model, which SQL can't express; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
