@@ -89,3 +89,16 @@ def newest(df: DataFrame, identity: list[str], version: str, *ties: str) -> Data
     """One row per identity, of the highest version: what a replacing table shows."""
     w = Window.partitionBy(*identity).orderBy(F.col(version).desc(), *[F.col(t).desc() for t in ties])
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def partial(df: DataFrame, keys: list[str], columns: dict[str, str | None], order: str = "seq", op: str = "op") -> DataFrame:
+    """The fold of some rows, in a form that merges with the fold of others."""
+    return df.groupBy(*keys).agg(*fold_columns(columns, order, op))
+
+
+def merged(parts: DataFrame, keys: list[str], columns: dict[str, str | None]) -> DataFrame:
+    """Partial folds merged per key; any grouping and order of the parts gives the same."""
+    out = [F.max("__last").alias("__last"), F.max("__gone").alias("__gone")]
+    for c in columns:
+        out += [F.max_by(f"__v_{c}", f"__o_{c}").alias(f"__v_{c}"), F.max(f"__o_{c}").alias(f"__o_{c}")]
+    return parts.groupBy(*keys).agg(*out)

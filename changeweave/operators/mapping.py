@@ -258,7 +258,7 @@ def spark_type(source: str) -> str:
     if m and int(m.group(1)) <= 38:
         return f"decimal({m.group(1)},{m.group(2) or 0})"
     to = mapped_type(source, SPARK_TYPES)
-    return to if to != source or source in SPARK_TYPES else "binary" if "." in source else "string"
+    return to if to != source or source in SPARK_TYPES.values() else "binary" if "." in source else "string"
 
 
 def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
