@@ -40,10 +40,10 @@ PERCENT = 85
 COORDINATES = 64
 TREES = 8
 LEAF = 256
-DEPTH = 10
+DEPTH = 6
 CHUNK = 512
-#: Bytes of text sketched at once.
-PART_BYTES = 4_000_000
+#: Pairs of sketches compared at once.
+PAIRS = 20_000
 
 
 def shingle_set(text: bytes | None, words: WordHash, width: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def _leaf_edges(keys: list[bytes], node: np.ndarray, lines: np.ndarray, least: i
         pend_i.append(i + lo)
         pend_j.append(j + lo)
         held += len(i)
-        if held > 200_000:
+        if held > PAIRS:
             flush()
     flush()
     return a, b

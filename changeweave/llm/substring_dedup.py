@@ -32,7 +32,7 @@ BUCKET_BYTES = 6_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Word hashes a worker keeps; beyond it the table is emptied, which changes no hash.
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 
 
 class WordHash(dict):
