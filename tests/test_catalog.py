@@ -1,6 +1,6 @@
 import pytest
 
-from changeweave.plans import catalog
+from changeweave.plans import queries as catalog
 
 from .conftest import SF, same
 

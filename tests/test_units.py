@@ -137,3 +137,28 @@ def test_gate_and_retry():
         g.decide("add x", "rejected")
     tries = []
     assert apply.with_retry(lambda: tries.append(1) or (len(tries) == 3 or 1 / 0)) is True
+
+
+def test_tables_and_messages(spark):
+    from changeweave.sources import messages, tables
+
+    p = tables.Poller()
+    a, b = ddl("id bigint, x int"), ddl("id bigint, x int, y date")
+    assert [(t, v, s, c[0].kind.value) for t, v, s, c in p.poll({"t": a})] == [("t", 1, "pending", "create_table")]
+    assert p.poll({"t": a}) == [] and [(v, [k.kind.value for k in c]) for _, v, _, c in p.poll({"t": b})] == [(2, ["add_column"])]
+    assert p.poll({})[0][3][0].kind.value == "drop_table"
+    plan = tables.match_fields({1: a["id"], 2: a["x"]}, {1: a["id"], 2: ddl("z int")["z"], 3: b["y"]})
+    assert [(c.kind.value, c.column, c.to) for c in plan] == [("rename_column", "x", "z"), ("add_column", "y", None)]
+    relations = [("s", "a", "table"), ("s", "v", "view"), ("s", "p", "partitioned"), ("o", "b", "table")]
+    assert tables.include(relations, schemas=["s"]) == [("s", "a")] and tables.include(relations, tables=["o.b"]) == [("o", "b")]
+    with pytest.raises(ValueError):
+        tables.include(relations, tables=["s.p"])
+    spark.createDataFrame([(1, "a")], "id long, name string").createOrReplaceTempView("people")
+    assert tables.schema_of(spark, "people", ["name"]).names == ["name"]
+    assert messages.available(spark, "parquet") and not messages.available(spark, "kafka")
+    with pytest.raises(sinks.UnsupportedTarget):
+        messages.require(spark, "iceberg")
+    with pytest.raises(sinks.UnsupportedTarget):
+        messages.payload_mode("wal", False)
+    df = spark.createDataFrame([(1, "0/1", "insert", "x" * 50)], "k long, lsn string, op string, v string")
+    assert messages.log_messages(df, "t", "k", ["v"], 20).first().too_big and messages.log_messages(df, "t", "k", ["v"], 20, "drop").count() == 0
