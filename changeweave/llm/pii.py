@@ -2,14 +2,14 @@
 
 1. Seeds: exact patterns find emails, IP addresses, card and phone numbers in every whole text.
 2. The same pass lists every identifier-like token (it holds a digit or an @, and is no plain short number) with its
-   lexical patterns: the word before, or after, with the shape of the token, and the two words before, or the
-   words around, whatever its shape. Seeds are listed too.
+   lexical patterns: its shape, the word before, or after, with the shape, and the two words before, or the words
+   around, whatever its shape. Seeds are listed too, and phone numbers that run into other digits.
 3. Spark scores the graph of patterns and instances in ``ROUNDS`` rounds: a pattern's reliability is the mean
    confidence of its distinct instances, damped by ``PRIOR`` imaginary bad ones; an instance's confidence is 1 for a
    seed and else that of its best pattern. Patterns and instances meet by shuffled aggregation on their keys, with
    partial sums first; no pattern list is broadcast or collected.
-4. Tokens whose pattern is reliable and that no base span touches are added as spans of the kind that the pattern's
-   seeds mostly have.
+4. Tokens whose pattern is reliable, that no base span touches and that pass the check of the kind which the pattern's
+   seeds mostly have, are added as spans of that kind.
 
 The base spans are what the patterns of the contract give, scanned in linear time: possessive runs tried at their
 starts only, which finds the same leftmost matches.
@@ -87,9 +87,41 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def shape(token: str) -> str:
-    """The token's pattern of digits (9), letters (a) and other characters; runs are written once with their length class."""
+def kinds_fitted(token: str) -> str:
+    """The kinds whose check the token passes, joined by commas: what a pattern finds must pass the check of its kind."""
+    digits = re.sub("[^0-9]", "", token)
+    out = []
+    if re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", token):
+        out.append("email")
+    if (m := _IP.fullmatch(token)) and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        out.append("ip")
+    if 16 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 .-]", token):
+        out.append("card")
+    if 8 <= len(digits) <= 15 and not re.search(r"[^0-9 +().-]", token):
+        out.append("phone")
+    return ",".join(out)
+
+
+def run_on_phones(text: str) -> list[tuple[int, int]]:
+    """Where a phone number runs into other digits, its words up to the last that keeps it a phone number."""
     out = []
+    for m in _PHONE.finditer(text) if "+" in text else ():
+        end, digits = 0, 0
+        if sum("0" <= c <= "9" for c in m.group()) <= 15:
+            continue
+        for w in re.finditer(r"[^\x20]+", m.group()):
+            digits += sum("0" <= c <= "9" for c in w.group())
+            if digits > 15:
+                break
+            end = w.end() if digits >= 8 else end
+        if end:
+            out.append((m.start(), m.start() + end))
+    return out
+
+
+def shape(token: str) -> str:
+    """The token's pattern of digits (9), letters (a) and other characters, digit runs with their length; L marks a valid check digit."""
+    out = ["L"] if "card" in kinds_fitted(token) else []
     for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token, re.S):
         run = m.group()
         out.append(f"9{min(len(run), 20)}" if run[0].isdigit() else "a" if run[0].isalpha() else run)
@@ -109,6 +141,11 @@ def mentions(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[in
     spans = base_spans(text)
     taken = sorted((s, e, k) for k in KINDS for s, e in spans[k])
     found = [(s, e, *_context(text, s, e), shape(text[s:e]), k) for s, e, k in taken]
+    for s, e in run_on_phones(text):
+        if not any(a < e and b > s for a, b, _ in taken):
+            found.append((s, e, *_context(text, s, e), shape(text[s:e]), None))
+            taken.append((s, e, "phone"))
+    taken.sort()
     at = 0
     for m in _TOKEN.finditer(text):
         start, end = m.span()
@@ -130,9 +167,9 @@ def mentions(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[in
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, uid, n_<kind>, base (kind:start:end joined), found (array of mentions). uid tells repeated rows apart."""
     src = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
-    mention = "array<struct<start:int,end:int,before2:string,before:string,after:string,shape:string,kind:string,instance:string>>"
+    mention = "array<struct<start:int,end:int,before2:string,before:string,after:string,shape:string,kind:string,instance:string,fits:string>>"
     schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, found {mention}"
-    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *((k, pa.string()) for k in ("before2", "before", "after", "shape", "kind", "instance"))]))
+    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), *((k, pa.string()) for k in ("before2", "before", "after", "shape", "kind", "instance", "fits"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +181,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for n, k in zip(counts, KINDS, strict=True):
                     n.append(len(spans[k]))
                 base.append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]))
-                found.append([dict(zip(("start", "end", "before2", "before", "after", "shape", "kind", "instance"), (*m, text[m[0] : m[1]]), strict=True)) for m in seen])
+                found.append([dict(zip(("start", "end", "before2", "before", "after", "shape", "kind", "instance", "fits"), (*m, text[m[0] : m[1]], kinds_fitted(text[m[0] : m[1]])), strict=True)) for m in seen])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(found, arrow)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "found"])
 
     return src.mapInArrow(run, schema)
@@ -177,6 +214,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = seen.select("uid", F.explode("found").alias("m")).select("uid", "m.*")
     # a word on either side with the shape; two words before, or the words around, whatever the shape
     made = F.array(
+        F.concat(F.lit("=|"), "shape"),
         F.when(F.col("before") != "", F.concat(F.lit("<"), "before", F.lit("|"), "shape")),
         F.when(F.col("after") != "", F.concat(F.lit(">"), "after", F.lit("|"), "shape")),
         F.when(F.col("before2") != "", F.concat(F.lit("<<"), "before2")),
@@ -186,7 +224,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     edges = written(with_pattern.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
     good = patterns(edges)
     forget(edges)
-    added = with_pattern.where("kind IS NULL").join(good, "pattern").groupBy("uid", "start", "end").agg(F.min("like").alias("like"))
+    added = with_pattern.where("kind IS NULL").join(good, "pattern").where(F.array_contains(F.split("fits", ","), F.col("like"))).groupBy("uid", "start", "end").agg(F.min("like").alias("like"))
     added = added.groupBy("uid").agg(F.collect_list(F.struct(F.col("like").alias("kind"), "start", "end")).alias("added"))  # of one document
     base = F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     rank = lambda m: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), m["kind"]).alias("k"), m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))
