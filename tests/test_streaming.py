@@ -60,3 +60,24 @@ def test_snapshots_files_and_fan_out(spark, tmp_path):
         apply.deliver(spark.range(1), 1, lambda df: None, {"x": lambda df: 1 / 0}, lambda *a: None)
     with pytest.raises(sinks.UnsupportedTarget):
         sinks.write_files(events, "x", "thrift")
+
+
+def run(spark, stream, name, tmp_path):
+    stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def test_stateful_streams_equal_batches(spark, tmp_path):
+    from changeweave.streaming import stateful
+
+    log = changelog.from_events(spark, SF).where("k < 4").select("k", "seq", "op", "val", "props", "has_val", "has_props").withColumn("name", F.lpad(F.expr("seq div 250").cast("string"), 3, "0"))
+    n = log.select("name").distinct().count()
+    for i in range(n):  # files in order of time: one micro-batch each
+        log.where(F.col("name") == f"{i:03d}").drop("name").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = lambda: apply.read_changes(spark, str(tmp_path / "log"), log.drop("name").schema, 1)
+    got = run(spark, stateful.dedupe_stream(stream(), "k", "seq", 100), "deduped", tmp_path)
+    want = sinks.dedupe_window(log, "k", "seq", 100).select(F.col("k").cast("string").alias("k"), "seq", "delivered")
+    assert rows(got) == rows(want)
+    got = run(spark, stateful.hydrate_stream(stream(), "k", "seq", COLUMNS), "hydrated", tmp_path)
+    want = fold.hydrated(log, ["k"], COLUMNS).select(F.col("k").cast("string").alias("k"), "seq", "op", F.col("val").cast("string").alias("val"), "props")
+    assert rows(got) == rows(want)
