@@ -54,6 +54,13 @@ def hydrated(df: DataFrame, keys: list[str], columns: dict[str, str], order: str
     return rows.drop("__epoch")
 
 
+def looked_up(df: DataFrame, snapshot: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Columns that a row lacks, taken from the source's row of the key as it is now."""
+    s = snapshot.select(*keys, *[F.col(c).alias(f"__s_{c}") for c in columns])
+    met = df.join(s, keys, "left")
+    return met.select(*[F.when(F.col(columns[c]), F.col(c)).otherwise(F.col(f"__s_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def split_key_changes(df: DataFrame, old: str, new: str, key: str, op: str = "op", order: str = "seq") -> DataFrame:
     """An update that changes its key becomes a delete of the old key and, just after, an insert of the new one. Adds ``part``."""
     changed = (F.col(op) == "update") & ~F.col(old).eqNullSafe(F.col(new))

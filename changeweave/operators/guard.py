@@ -30,3 +30,12 @@ def tombstones(df: DataFrame, keys: list[str], guard: str, pos: str, op: str = "
     """Per key the highest (guard, position) and whether it is a delete: what a later write must beat. Aggregates map-side."""
     top = F.max(F.struct(F.col(guard).alias("guard"), F.col(pos).alias("pos"), (F.col(op) == "delete").alias("deleted")))
     return df.groupBy(*keys).agg(top.alias("t")).select(*keys, "t.guard", "t.pos", "t.deleted")
+
+
+def unfit(df: DataFrame, keys: list[str], guard: str, pos: str) -> DataFrame:
+    """Rows that a guarded upsert must refuse: without guard value, key or position. Adds ``reason``."""
+    lacks_key = F.lit(False)
+    for k in keys:
+        lacks_key = lacks_key | F.col(k).isNull()
+    reason = F.when(lacks_key, "no key").when(F.col(guard).isNull(), "no guard value").when(F.col(pos).isNull(), "no position")
+    return df.withColumn("reason", reason).where("reason IS NOT NULL")

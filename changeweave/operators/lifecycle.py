@@ -67,6 +67,19 @@ def numbered(publications: DataFrame, flow: str, *order: str) -> DataFrame:
     return publications.withColumn("sequence", F.row_number().over(Window.partitionBy(flow).orderBy(*order)).cast("long"))
 
 
+def registry_state(events: DataFrame, change: str = "change", order: str = "seq") -> DataFrame:
+    """Per schema change its state now: a repeated sighting changes nothing, decisions in order of arrival do."""
+    decided = F.col("state") != "pending"
+    return events.groupBy(change).agg(F.coalesce(F.max_by(F.when(decided, F.col("state")), F.when(decided, F.col(order))), F.lit("pending")).alias("state"), F.min(order).alias("first_seen"))
+
+
+def least_recently_used(uses: DataFrame, key: str, order: str, keep: int) -> DataFrame:
+    """Keys that a cache of ``keep`` entries has evicted: all but the most recently used."""
+    last = uses.groupBy(key).agg(F.max(order).alias("last_use"))
+    kept = last.orderBy(F.desc("last_use"), key).limit(keep)
+    return last.join(kept.select(key), key, "left_anti")
+
+
 def next_versions(registry: DataFrame, subjects: DataFrame, subject: str = "subject", version: str = "version") -> DataFrame:
     top = registry.groupBy(subject).agg(F.max(version).alias("__v"))
     return subjects.select(subject).distinct().join(top, subject, "left").select(subject, (F.coalesce("__v", F.lit(0)) + 1).cast("long").alias("next_version"))

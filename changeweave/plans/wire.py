@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from changeweave.functions import scalars
-from changeweave.operators import artifacts, changelog, decode
+from changeweave.operators import artifacts, changelog, decode, fold, guard, lifecycle
 from changeweave.plans.catalog import CL, query, table
 from changeweave.sources import messages, sinks, tables
 
@@ -131,3 +131,41 @@ def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = scalars.as_vector(F.concat(F.lit("["), F.array_join("embedding", ","), F.lit("]")))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(v).alias("n"), F.element_at(v, 1).alias("first_value"))
+
+
+@query("cdc_toast_lookup", f"WITH {CL}, t AS (SELECT c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer) SELECT cl.seq, cl.k, CASE WHEN has_val THEN cl.val ELSE t.val END AS val FROM cl LEFT JOIN t ON cl.k = t.k")
+def cdc_toast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.round(F.col("c_acctbal") * 100).cast("long").alias("val"))
+    return fold.looked_up(changelog.from_events(spark, sf_dir), source, ["k"], {"val": "has_val"}).select("seq", "k", "val")
+
+
+@query("cdc_guard_unfit", f"WITH {CL} SELECT seq, CASE WHEN seq % 13 = 0 THEN 'no key' WHEN NOT has_val THEN 'no guard value' END AS reason FROM cl WHERE seq % 13 = 0 OR NOT has_val")
+def cdc_guard_unfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = changelog.from_events(spark, sf_dir).select("seq", "pos", F.when(F.col("seq") % 13 != 0, F.col("k")).alias("k"), F.when(F.col("has_val"), F.col("wm")).alias("wm"))
+    return guard.unfit(rows, ["k"], "wm", "pos").select("seq", "reason")
+
+
+_STATES = "CASE event_id % 7 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'applied' ELSE 'pending' END"
+
+
+@query("ddl_registry", f"SELECT user_id % 40 AS change, coalesce(arg_max(s, event_id) FILTER (WHERE s <> 'pending'), 'pending') AS state, min(event_id) AS first_seen FROM (SELECT user_id, event_id, {_STATES} AS s FROM events WHERE event_id % 60 < 25) GROUP BY 1")
+def ddl_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 7
+    e = table(spark, sf_dir, "events").where("event_id % 60 < 25")
+    return lifecycle.registry_state(e.select((F.col("user_id") % 40).alias("change"), F.col("event_id").alias("seq"), F.when(m == 1, "approved").when(m == 2, "rejected").when(m == 3, "applied").otherwise("pending").alias("state")))
+
+
+@query("lru_evicted", "SELECT user_id, last_use FROM (SELECT user_id, max(event_id) AS last_use, row_number() OVER (ORDER BY max(event_id) DESC, user_id) AS n FROM events GROUP BY user_id) WHERE n > 10")
+def lru_evicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.least_recently_used(table(spark, sf_dir, "events"), "user_id", "event_id", 10)
+
+
+@query("metadata_overrides", f"WITH {CL}, m AS (SELECT xid, seq, CASE WHEN seq % 8 IN (2, 5) AND (xid * 10 + seq % 3) % 7 <> 0 THEN 1 ELSE 0 END AS o FROM cl) SELECT seq, CAST(sum(o) OVER (PARTITION BY xid ORDER BY seq) AS BIGINT) AS version FROM m")
+def metadata_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schema version inside a transaction: overrides count from their record on, those of aborted sub-transactions don't."""
+    rows = changelog.from_events(spark, sf_dir).select("xid", "seq", (F.col("xid") * 10 + F.col("seq") % 3).alias("subxid"))
+    overrides = rows.where("seq % 8 IN (2, 5)")
+    kept = changelog.committed(overrides, overrides.where("subxid % 7 = 0")).select("xid", "seq", F.lit(1).cast("long").alias("o"))
+    met = rows.select("xid", "seq").join(kept, ["xid", "seq"], "left")
+    w = Window.partitionBy("xid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return met.select("seq", F.coalesce(F.sum("o").over(w), F.lit(0)).alias("version"))

@@ -139,6 +139,25 @@ def write_files(df: DataFrame, path: str, wire: str = "parquet", by: list[tuple[
     (w.partitionBy(*names) if names else w).save(path)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", rows_per_insert: int = 500, **options: str) -> None:
+    """Rows to a database table over JDBC; the driver's jar comes with the session."""
+    df.write.format("jdbc").mode(mode).options(url=url, dbtable=table, batchsize=str(rows_per_insert), **options).save()
+
+
+def arrow_streams(df: DataFrame) -> DataFrame:
+    """(n_rows, payload): the rows as Arrow IPC streams, one per batch."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n_rows", "payload"])
+
+    return df.mapInArrow(run, "n_rows long, payload binary")
+
+
 class Snapshots:
     """A table as versioned folders and a pointer written last: readers see a whole version or the one before."""
 

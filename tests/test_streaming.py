@@ -81,3 +81,10 @@ def test_stateful_streams_equal_batches(spark, tmp_path):
     got = run(spark, stateful.hydrate_stream(stream(), "k", "seq", COLUMNS), "hydrated", tmp_path)
     want = fold.hydrated(log, ["k"], COLUMNS).select(F.col("k").cast("string").alias("k"), "seq", "op", F.col("val").cast("string").alias("val"), "props")
     assert rows(got) == rows(want)
+
+
+def test_arrow_streams(spark):
+    import pyarrow as pa
+
+    got = sinks.arrow_streams(spark.range(10).coalesce(1)).collect()
+    assert sum(r.n_rows for r in got) == 10 and pa.ipc.open_stream(got[0].payload).read_all().num_rows == got[0].n_rows
