@@ -83,18 +83,27 @@ def features(text: str | None) -> np.ndarray | None:
     return (x / np.linalg.norm(x)).astype(np.float32)
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
-    """Linear SVM by dual coordinate descent (hinge loss); y in -1, 1. The last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, a = np.zeros(x.shape[1], np.float32), np.zeros(len(x))
-    q = (x * x).sum(1)
+class Rows:
+    """Sparse feature vectors: memory follows what they hold, not the dimensions."""
+
+    def __init__(self, at: list[np.ndarray], values: list[np.ndarray]):
+        self.at, self.values = at, values
+        self.norms = [float(v @ v) + 1.0 for v in values]  # with the bias
+
+
+def svm(x: Rows, own: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
+    """Linear SVM by dual coordinate descent (hinge loss) on the rows ``own`` with labels y of -1 or 1. The last weight is the bias."""
+    w, a = np.zeros(DIMENSIONS + 1, np.float32), np.zeros(len(own))
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):
-        for i in order.permutation(len(x)):
-            g = y[i] * float(x[i] @ w) - 1
-            new = min(max(a[i] - g / q[i], 0.0), c)
+        for i in order.permutation(len(own)):
+            at, v = x.at[own[i]], x.values[own[i]]
+            g = y[i] * (float(v @ w[at]) + float(w[-1])) - 1
+            new = min(max(a[i] - g / x.norms[own[i]], 0.0), c)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = np.float32((new - a[i]) * y[i])
+                w[at] += step * v
+                w[-1] += step
                 a[i] = new
     return w
 
@@ -102,19 +111,19 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0) -> np.ndarray:
 class Model:
     """Weights of all machines, stacked: families one-versus-rest, then each family's pairs of languages."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: Rows, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family_of(g) for g in self.langs})
         own = np.array([family_of(g) for g in langs])
-        langs = np.array(langs)
-        rows = [svm(x, np.where(own == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
+        langs, every = np.array(langs), np.arange(len(langs))
+        rows = [svm(x, every, np.where(own == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = []
         for f in self.families:
             for a, b in combinations([g for g in self.langs if family_of(g) == f], 2):
-                at = (langs == a) | (langs == b)
+                at = np.flatnonzero((langs == a) | (langs == b))
                 self.pairs.append((a, b, len(rows)))
-                rows.append(svm(x[at], np.where(langs[at] == a, 1.0, -1.0)))
-        self.weights = np.array(rows, np.float32).reshape(len(rows), x.shape[1] + 1)
+                rows.append(svm(x, at, np.where(langs[at] == a, 1.0, -1.0)))
+        self.weights = np.array(rows, np.float32).reshape(len(rows), DIMENSIONS + 1)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         margins = self.weights[:, :-1] @ x + self.weights[:, -1]
@@ -159,9 +168,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = sorted(sample.mapInArrow(run, "lang string, id string, at binary, x binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
     if not rows:
         return None
-    x = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r[2], np.int32)] = np.frombuffer(r[3], np.float32)
+    x = Rows([np.frombuffer(r[2], np.int32) for r in rows], [np.frombuffer(r[3], np.float32) for r in rows])
     return Model(x, [r[0] for r in rows])
 
 
