@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from changeweave.llm import mixing, toxicity
+from changeweave.llm import decontaminate, mixing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +55,11 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 0
+
+
+def test_passages_of_one_item_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()
+    quoting = {r.doc_id for r in judged if r.n_items == 1}
+    kept = {r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, SF).collect()}
+    assert quoting and kept == {r.doc_id for r in judged if r.n_items == 0}
