@@ -88,13 +88,27 @@ def transaction_id(lsn: Column, key: Column) -> Column:
     return F.coalesce(F.nullif(lsn, F.lit("")), F.sha2(key.cast("string").cast("binary"), 256))
 
 
-def overlaps(df: DataFrame, key: str, span: int) -> DataFrame:
-    """Artifacts whose first row lies at or before the last row of their predecessor.
+def with_previous(df: DataFrame, key: str, column: str, span: int, levels: int = 2) -> DataFrame:
+    """Adds ``previous``: the column of the row before in the order of the key.
 
-    Ranges of ``span`` artifacts are looked at apart, so no window holds all of them; the first of a range is left out.
+    Windows hold ranges of ``span`` keys; the last row of every range is carried to the next one that has rows. The
+    carried rows are ordered the same way, and only those of the last level, one in ``span ** levels``, meet in one task.
     """
-    w = Window.partitionBy(F.floor(F.col(key) / span)).orderBy(key)
-    return df.withColumn("previous_last", F.lag("last_seq").over(w)).where("previous_last >= first_seq").select(key, "first_seq", "previous_last")
+    if not levels:
+        return df.withColumn("previous", F.lag(column).over(Window.orderBy(key)))
+    part, carried = f"__range{levels}", f"__carried{levels}"
+    rows = df.withColumn(part, F.floor(F.col(key) / span))
+    lasts = rows.groupBy(part).agg(F.max_by(column, key).alias("__last"))
+    before = with_previous(lasts, part, "__last", span, levels - 1).select(part, F.col("previous").alias(carried))
+    w = Window.partitionBy(part).orderBy(key)
+    met = rows.join(before, part).withColumn("previous", F.when(F.row_number().over(w) == 1, F.col(carried)).otherwise(F.lag(column).over(w)))
+    return met.select(*df.columns, "previous")
+
+
+def overlaps(df: DataFrame, key: str, span: int) -> DataFrame:
+    """Artifacts whose first row lies at or before the last row of their predecessor. Windows hold ranges of ``span`` keys."""
+    rows = with_previous(df, key, "last_seq", span).withColumnRenamed("previous", "previous_last")
+    return rows.where("previous_last >= first_seq").select(key, "first_seq", "previous_last")
 
 
 def dedupe_window(df: DataFrame, key: str, order: str, width: int) -> DataFrame:

@@ -162,3 +162,13 @@ def test_tables_and_messages(spark):
         messages.payload_mode("wal", False)
     df = spark.createDataFrame([(1, "0/1", "insert", "x" * 50)], "k long, lsn string, op string, v string")
     assert messages.log_messages(df, "t", "k", ["v"], 20).first().too_big and messages.log_messages(df, "t", "k", ["v"], 20, "drop").count() == 0
+
+
+@pytest.mark.parametrize("span", [1, 3, 100])
+def test_overlaps_across_ranges(spark, span):
+    rows = [(x, x * 8 - x % 3, x * 8 + 7) for x in range(1000) if not 300 <= x < 520]  # a gap of whole ranges
+    rows[rows.index((520, 4159, 4167))] = (520, 2390, 4167)
+    want = {(b[0], b[1], a[2]) for a, b in zip(rows, rows[1:]) if a[2] >= b[1]}
+    df = spark.createDataFrame(rows, "xid long, first_seq long, last_seq long").repartition(5)
+    got = [tuple(r) for r in sinks.overlaps(df, "xid", span).collect()]
+    assert len(got) == len(want) and set(got) == want and {100, 520} <= {x for x, _, _ in got}
