@@ -76,6 +76,12 @@ def apply_updates(target: DataFrame, updates: DataFrame, keys: list[str], column
     return met.select(*[F.when(F.col(f"__p_{c}"), F.col(f"__u_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
+def latest_images(df: DataFrame, keys: list[str], columns: dict[str, str], order: str = "seq") -> DataFrame:
+    """One partial image per key: of each column the latest present value (an explicit null counts), and whether any row has it."""
+    values = [F.max_by(c, F.when(F.col(p), F.col(order))).alias(c) for c, p in columns.items()]
+    return df.groupBy(*keys).agg(*values, *[F.coalesce(F.bool_or(p), F.lit(False)).alias(p) for p in dict.fromkeys(columns.values())])
+
+
 def apply_deletes(target: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(deletes.select(*keys).distinct(), keys, "left_anti")
 

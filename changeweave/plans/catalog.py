@@ -115,7 +115,7 @@ def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cdc_apply_update_join", f"WITH {CL}, {_TARGET}, {_LAST_UPDATE} SELECT t.k, CASE WHEN u.has_val THEN u.val ELSE t.val END AS val, CASE WHEN u.has_props THEN u.props ELSE t.props END AS props FROM t LEFT JOIN u ON t.k = u.k")
 def cdc_apply_update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updates = fold.newest(changelog.from_events(spark, sf_dir).where("op = 'update'"), ["k"], "seq")
+    updates = fold.latest_images(changelog.from_events(spark, sf_dir).where("op = 'update'"), ["k"], COLUMNS)
     return fold.apply_updates(_target(spark, sf_dir), updates, ["k"], COLUMNS)
 
 
@@ -129,7 +129,7 @@ def cdc_apply_delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {CL}, {_TARGET}, {_LAST_UPDATE} SELECT coalesce(t.k, u.k) AS k, CASE WHEN coalesce(u.has_val, false) THEN u.val ELSE t.val END AS val, CASE WHEN coalesce(u.has_props, false) THEN u.props ELSE t.props END AS props FROM t FULL JOIN u ON t.k = u.k",
 )
 def cdc_upsert_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fold.newest(changelog.from_events(spark, sf_dir).where("op = 'update'"), ["k"], "seq")
+    rows = fold.latest_images(changelog.from_events(spark, sf_dir).where("op = 'update'"), ["k"], COLUMNS)
     return fold.upsert(_target(spark, sf_dir), rows, ["k"], COLUMNS)
 
 

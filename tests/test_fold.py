@@ -3,7 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from changeweave.operators import fold, guard
+from changeweave.operators import changelog, fold, guard
+from changeweave.plans import queries as catalog
+
+from .conftest import SF
 
 SCHEMA = "k long, seq long, op string, val long, props string, has_val boolean, has_props boolean"
 COLUMNS = {"val": "has_val", "props": "has_props"}
@@ -86,3 +89,26 @@ def test_guard(spark):
     assert [r.decision for r in got.orderBy("arrival").collect()] == ["accept", "accept", "stale", "replay", "conflict", "accept"]
     assert guard.conflicts(got).count() == 1
     assert guard.tombstones(df.where("arrival <= 4"), ["k"], "wm", "pos").first().deleted is True
+
+
+def test_partial_updates_of_one_key_keep_both_columns(spark):
+    rows = [
+        (1, 1, "update", 5, None, True, False), (1, 2, "update", None, "x", False, True),  # disjoint columns
+        (2, 1, "update", 7, "y", True, True), (2, 2, "update", None, None, True, False),  # an explicit null overwrites
+        (3, 1, "update", 8, "z", False, False),  # nothing present
+        (4, 1, "update", 9, None, True, False), (4, 2, "update", None, "w", False, True),  # no target row
+    ]
+    images = fold.latest_images(spark.createDataFrame(rows, SCHEMA).repartition(3), ["k"], COLUMNS)
+    target = spark.createDataFrame([(i, 100 + i, f"t{i}") for i in (1, 2, 3)], "k long, val long, props string")
+    matched = {(1, 5, "x"), (2, None, "y"), (3, 103, "t3")}
+    assert {tuple(r) for r in fold.apply_updates(target, images, ["k"], COLUMNS).collect()} == matched
+    assert {tuple(r) for r in fold.upsert(target, images, ["k"], COLUMNS).collect()} == matched | {(4, 9, "w")}
+
+
+@pytest.mark.parametrize("name", ["cdc_apply_update_join", "cdc_upsert_outer"])
+def test_registered_updates_keep_every_column(spark, name):
+    present = {}
+    for r in changelog.from_events(spark, SF).where("op = 'update'").orderBy("seq").collect():
+        present.setdefault(r.k, {}).update({c: r[c] for c, p in COLUMNS.items() if r[p]})
+    got = {r.k: r for r in catalog.QUERIES[name](spark, SF).collect()}
+    assert present and all(got[k][c] == v for k, columns in present.items() if k in got for c, v in columns.items())
