@@ -44,10 +44,28 @@ def chunks(df: DataFrame, within: list[str], order: str, size: Column, most_rows
     return df.withColumn("chunk", F.struct(rows.alias("by_rows"), held.alias("by_bytes")))
 
 
-def halvings(n: Column, size: Column, most: int) -> Column:
-    """How often a batch of n rows and so many bytes is halved until every piece fits, rows being alike; never below one row."""
-    needed = F.ceil(F.log2(F.greatest(size.cast("double") / F.lit(float(most)), F.lit(1.0))))
-    return F.least(needed, F.ceil(F.log2(F.greatest(n.cast("double"), F.lit(1.0))))).cast("long")
+def bisected(df: DataFrame, txn: str, order: str, size: Column, most: int) -> DataFrame:
+    """One row per piece of each transaction, halved by rows until every piece has at most ``most`` bytes or one row.
+
+    Columns: the transaction, ``first`` (row from 0), ``n_rows``, ``bytes`` and ``halvings``, how often the piece's rows were
+    halved. Sizes are those of the rows, as prefix sums; a transaction's sums are one array.
+    """
+    held = F.sum(F.coalesce(size, F.lit(0)).cast("long")).over(Window.partitionBy(txn).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("__held")))), lambda r: r["__held"])
+    t = df.select(txn, order, held.alias("__held")).groupBy(txn).agg(F.concat(F.array(F.lit(0).cast("long")), sums).alias("__sums"))
+    piece = lambda lo, hi, n: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), n.cast("int").alias("n"))
+    weight = lambda p: F.get("__sums", p["hi"]) - F.get("__sums", p["lo"])
+
+    def halved(p: Column) -> Column:
+        mid = p["lo"] + F.floor((p["hi"] - p["lo"]) / 2)
+        two = F.array(piece(p["lo"], mid, p["n"] + 1), piece(mid, p["hi"], p["n"] + 1))
+        return F.when((weight(p) > most) & (p["hi"] - p["lo"] > 1), two).otherwise(F.array(piece(p["lo"], p["hi"], p["n"])))
+
+    n = F.size("__sums") - 1
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n.cast("double"))).cast("int"))
+    pieces = F.aggregate(rounds, F.array(piece(F.lit(0), n, F.lit(0))), lambda ps, _: F.flatten(F.transform(ps, halved)))
+    p = F.col("__p")
+    return t.withColumn("__p", F.explode(pieces)).select(txn, p["lo"].alias("first"), (p["hi"] - p["lo"]).alias("n_rows"), weight(p).alias("bytes"), p["n"].cast("long").alias("halvings"))
 
 
 def ancestry(spark: SparkSession, snapshots: DataFrame, head: int) -> DataFrame:

@@ -83,8 +83,8 @@ def insert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("size_bisect", f"WITH {CL}, t AS (SELECT xid, count(*) AS n, sum(length(props)) AS bytes FROM cl GROUP BY xid) SELECT xid, CASE WHEN bytes <= 10 THEN 0 WHEN bytes <= 20 THEN 1 WHEN bytes <= 40 THEN 2 ELSE 3 END::BIGINT AS halvings FROM t WHERE n = 8")
 def size_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = changelog.from_events(spark, sf_dir).groupBy("xid").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("props")).alias("bytes")).where("n = 8")
-    return t.select("xid", artifacts.halvings(F.col("n"), F.col("bytes"), 10).alias("halvings"))
+    pieces = artifacts.bisected(changelog.from_events(spark, sf_dir), "xid", "seq", F.length("props"), 10)
+    return pieces.groupBy("xid").agg(F.max("halvings").alias("halvings"))
 
 
 @query("snapshot_ancestry", "WITH RECURSIVE s AS (SELECT n_nationkey AS id, (n_nationkey - 1) // 2 AS parent FROM nation), a AS (SELECT id, parent FROM s WHERE id = 20 UNION ALL SELECT s.id, s.parent FROM a JOIN s ON s.id = a.parent AND a.id > 0) SELECT CAST(id AS BIGINT) AS id FROM a")

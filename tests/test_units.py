@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from changeweave.functions import position, scalars
-from changeweave.operators import evolve, lifecycle
+from changeweave.operators import artifacts, evolve, lifecycle
 from changeweave.operators import mapping as m
 from changeweave.sources import backfill, sinks
 from changeweave.streaming import apply
@@ -172,3 +172,18 @@ def test_overlaps_across_ranges(spark, span):
     df = spark.createDataFrame(rows, "xid long, first_seq long, last_seq long").repartition(5)
     got = [tuple(r) for r in sinks.overlaps(df, "xid", span).collect()]
     assert len(got) == len(want) and set(got) == want and {100, 520} <= {x for x, _, _ in got}
+
+
+def test_bisect_by_real_sizes(spark):
+    batches = {1: [90, 1, 1, 1, 1, 1, 1, 1], 2: [2, 3], 3: [50], 4: [1, 1, 60, 30, 5, None, 7], 5: [3] * 13}
+
+    def by_hand(sizes, first=0, n=0):
+        if sum(sizes) <= 10 or len(sizes) == 1:
+            return [(first, len(sizes), sum(sizes), n)]
+        mid = len(sizes) // 2
+        return by_hand(sizes[:mid], first, n + 1) + by_hand(sizes[mid:], first + mid, n + 1)
+
+    rows = [(x, i, s) for x, sizes in batches.items() for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "xid long, seq long, size long").repartition(3)
+    got = sorted(tuple(r) for r in artifacts.bisected(df, "xid", "seq", F.col("size"), 10).collect())
+    assert got == sorted((x, *p) for x, sizes in batches.items() for p in by_hand([s or 0 for s in sizes]))
