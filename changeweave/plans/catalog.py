@@ -106,7 +106,8 @@ def cdc_truncate_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TARGET = "t AS (SELECT c_custkey AS k, CAST(round(c_acctbal * 100) AS BIGINT) AS val, c_mktsegment AS props FROM customer)"
-_LAST_UPDATE = "u AS (SELECT k, val, props, has_val, has_props FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM cl WHERE op = 'update') WHERE n = 1)"
+_LAST_UPDATE = """x AS (SELECT *, row_number() OVER (PARTITION BY k, has_val ORDER BY seq DESC) AS nv, row_number() OVER (PARTITION BY k, has_props ORDER BY seq DESC) AS np FROM cl WHERE op = 'update'),
+u AS (SELECT k, max(val) FILTER (WHERE has_val AND nv = 1) AS val, max(props) FILTER (WHERE has_props AND np = 1) AS props, bool_or(has_val) AS has_val, bool_or(has_props) AS has_props FROM x GROUP BY k)"""
 
 
 def _target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,7 +486,7 @@ def snapshot_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill.unfinished(tasks, tasks.select("task", F.when(F.col("task") % 3 == 0, "done").otherwise("running").alias("state")))
 
 
-@query("artifact_overlaps", f"WITH {CL}, a AS (SELECT xid, min(seq) - xid % 3 AS first_seq, max(seq) AS last_seq FROM cl GROUP BY xid) SELECT xid, first_seq, previous_last FROM (SELECT *, lag(last_seq) OVER (ORDER BY xid) AS previous_last FROM a) WHERE previous_last >= first_seq AND xid % 100 <> 0")
+@query("artifact_overlaps", f"WITH {CL}, a AS (SELECT xid, min(seq) - xid % 3 AS first_seq, max(seq) AS last_seq FROM cl GROUP BY xid) SELECT xid, first_seq, previous_last FROM (SELECT *, lag(last_seq) OVER (ORDER BY xid) AS previous_last FROM a) WHERE previous_last >= first_seq")
 def artifact_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).groupBy("xid").agg(F.min("seq").alias("lo"), F.max("seq").alias("last_seq")).select("xid", (F.col("lo") - F.col("xid") % 3).alias("first_seq"), "last_seq")
     return sinks.overlaps(rows, "xid", 100)
@@ -630,9 +631,9 @@ def delivery_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.prunable(m, m.where("manifest_id % 2 = 0"), m.where("manifest_id % 3 = 0"), 50)
 
 
-@query("backlog_agg", f"WITH {CL} SELECT count(*) AS n, CAST(sum(val) AS BIGINT) AS bytes, 2000000 - min(seq) AS age, true AS blocked FROM cl WHERE xid % 3 = 0")
+@query("backlog_agg", f"WITH {CL} SELECT count(*) AS n, CAST(sum(val) AS BIGINT) AS bytes, 2000000 - min(seq) AS age, true AS blocked FROM cl")
 def backlog_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.over_limit(changelog.from_events(spark, sf_dir).where("xid % 3 = 0"), F.lit(2_000_000).cast("long"), "seq", "val", 10_000_000, 10**15, 1_000_000)
+    return lifecycle.over_limit(changelog.from_events(spark, sf_dir), F.lit(2_000_000).cast("long"), "seq", "val", 10_000_000, 10**15, 1_000_000)
 
 
 @query("quota_filter_sum", f"WITH {CL} SELECT k, CAST(coalesce(sum(val) FILTER (WHERE op <> 'delete'), 0) AS BIGINT) AS live_bytes, CAST(coalesce(sum(val), 0) AS BIGINT) AS all_bytes FROM cl GROUP BY k")
@@ -641,10 +642,10 @@ def quota_filter_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.from_events(spark, sf_dir).groupBy("k").agg(total(F.when(F.col("op") != "delete", F.col("val"))).alias("live_bytes"), total(F.col("val")).alias("all_bytes"))
 
 
-@query("identity_conflicts", f"WITH {CL} SELECT k AS id, count(DISTINCT event_type) AS n FROM cl WHERE seq % 40 < 2 GROUP BY k HAVING count(DISTINCT event_type) <> 1")
+@query("identity_conflicts", f"WITH {CL} SELECT k AS id, count(DISTINCT event_type) AS n FROM cl GROUP BY k HAVING count(DISTINCT event_type) <> 1")
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).select(F.col("k").alias("id"), "event_type", "seq")
-    return lifecycle.identity_conflicts(rows.where("seq % 40 = 0"), rows.where("seq % 40 = 1"), "id", ["event_type"])
+    return lifecycle.identity_conflicts(rows.where("seq % 2 = 0"), rows.where("seq % 2 = 1"), "id", ["event_type"])
 
 
 @query("active_executions", f"WITH {CL} SELECT event_type, count(*) AS n FROM (SELECT event_type, seq FROM cl WHERE seq % 4 = 0 UNION ALL SELECT event_type, seq FROM cl WHERE seq % 4 = 1) WHERE seq % 5 <> 0 GROUP BY event_type")

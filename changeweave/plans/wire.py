@@ -81,7 +81,15 @@ def insert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("k", F.col("chunk.by_rows").alias("by_rows"), F.col("chunk.by_bytes").alias("by_bytes")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("size_bisect", f"WITH {CL}, t AS (SELECT xid, count(*) AS n, sum(length(props)) AS bytes FROM cl GROUP BY xid) SELECT xid, CASE WHEN bytes <= 10 THEN 0 WHEN bytes <= 20 THEN 1 WHEN bytes <= 40 THEN 2 ELSE 3 END::BIGINT AS halvings FROM t WHERE n = 8")
+@query(
+    "size_bisect",
+    f"""WITH RECURSIVE {CL}, o AS (SELECT xid, row_number() OVER (PARTITION BY xid ORDER BY seq) AS i, length(props) AS b FROM cl),
+s AS (SELECT xid, i, sum(b) OVER (PARTITION BY xid ORDER BY i) AS held FROM o UNION ALL SELECT DISTINCT xid, 0, 0 FROM o),
+p AS (SELECT xid, CAST(0 AS BIGINT) AS lo, max(i) AS hi, CAST(0 AS BIGINT) AS n FROM o GROUP BY xid
+  UNION ALL SELECT p.xid, CASE side WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE side WHEN 0 THEN (lo + hi) // 2 ELSE hi END, n + 1
+  FROM p JOIN s a ON a.xid = p.xid AND a.i = lo JOIN s b ON b.xid = p.xid AND b.i = hi, (VALUES (0), (1)) v(side) WHERE b.held - a.held > 10 AND hi - lo > 1)
+SELECT xid, max(n) AS halvings FROM p GROUP BY xid""",
+)
 def size_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = artifacts.bisected(changelog.from_events(spark, sf_dir), "xid", "seq", F.length("props"), 10)
     return pieces.groupBy("xid").agg(F.max("halvings").alias("halvings"))
@@ -148,10 +156,10 @@ def cdc_guard_unfit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES = "CASE event_id % 7 WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' WHEN 3 THEN 'applied' ELSE 'pending' END"
 
 
-@query("ddl_registry", f"SELECT user_id % 40 AS change, coalesce(arg_max(s, event_id) FILTER (WHERE s <> 'pending'), 'pending') AS state, min(event_id) AS first_seen FROM (SELECT user_id, event_id, {_STATES} AS s FROM events WHERE event_id % 60 < 25) GROUP BY 1")
+@query("ddl_registry", f"SELECT user_id % 40 AS change, coalesce(arg_max(s, event_id) FILTER (WHERE s <> 'pending'), 'pending') AS state, min(event_id) AS first_seen FROM (SELECT user_id, event_id, {_STATES} AS s FROM events) GROUP BY 1")
 def ddl_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("event_id") % 7
-    e = table(spark, sf_dir, "events").where("event_id % 60 < 25")
+    e = table(spark, sf_dir, "events")
     return lifecycle.registry_state(e.select((F.col("user_id") % 40).alias("change"), F.col("event_id").alias("seq"), F.when(m == 1, "approved").when(m == 2, "rejected").when(m == 3, "applied").otherwise("pending").alias("state")))
 
 
