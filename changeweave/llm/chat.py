@@ -147,7 +147,7 @@ def with_escape_case(turns: DataFrame) -> DataFrame:
 def digests(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from what was written."""
     back = formatted.withColumn("turns", read_back(F.col("formatted"), template))
-    trained = unescape_each(F.filter("segments", lambda s: s["loss"]), template)
+    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return back.withColumn("said", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")).withColumn("trained", trained).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -159,10 +159,6 @@ def digests(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     )
 
 
-def unescape_each(segments: Column, template: Template) -> Column:
-    return F.array_join(F.transform(segments, lambda s: unescape(s["text"], template)), "")
-
-
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(with_escape_case(table(spark, sf_dir, "conversations"))))
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changeweave.functions.scratch import forget, shared_folder, written
+
+__all__ = ["BLANKS", "LETTERS", "TOKENS", "WORD_PATTERN", "crc_bucket", "crc_bucket_py", "forget", "quoted", "shared_folder", "split_alnum", "split_words", "table", "written"]
+
 #: The blank characters of the contracts: space and \x09-\x0D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Java and RE2 pattern of one whitespace-delimited word.
@@ -24,34 +27,6 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; only where it is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows read from a table written in the shared folder: lineage ends there, and nothing runs twice."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/changeweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._changeweave_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the table behind ``written``, once nothing will read it."""
-    path = df.__dict__.pop("_changeweave_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)
@@ -76,5 +51,15 @@ def split_alnum(text: bytes) -> list[bytes]:
     return text.lower().translate(_ALNUM).split()
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _numerals() -> str:
+    """Word characters that are no letters and no decimal digits (fractions, superscripts, circled digits), for a character class.
+
+    Beyond the first two planes there are ideographs only."""
+    return "".join(re.escape(c) for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+
+
+#: Runs of Unicode letters.
+LETTERS = re.compile(rf"[^\W\d_{_numerals()}]+")
 TOKENS = re.compile(r"[^\W_]+")

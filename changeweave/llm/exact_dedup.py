@@ -51,12 +51,21 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def _row_key(id_col: Column, sha: Column) -> Column:
+    """One key of id and normalised text; a null id differs from every text."""
+    return F.concat_ws("|", sha, F.coalesce(F.concat(F.lit("="), id_col.cast("string")), F.lit("null")))
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns. The texts move once more, by id, so no copy group meets in one task."""
-    stays = duplicate_report(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__cw_id"), F.col("text_sha256").alias("__cw_sha"))
-    marked = docs.withColumn("__cw_own", F.sha2(normalised(quoted(text_col)).cast("binary"), 256)).withColumn("__cw_len", F.length(F.coalesce(quoted(text_col), F.lit(""))))
-    met = marked.join(stays, quoted(id_col).eqNullSafe(F.col("__cw_id")) & (F.col("__cw_own") == F.col("__cw_sha")))
-    one = Window.partitionBy(id_col, "__cw_own").orderBy(F.col("__cw_len").desc(), quoted(text_col))
+    """The rows that stay, with all their columns. The texts move once more, by id and hash, so no copy group meets in one task.
+
+    Of rows repeating the id and text of the one that stays, the longest original stays, then the first text.
+    """
+    stays = duplicate_report(docs, id_col, text_col).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("__cw_key"))
+    marked = docs.withColumn("__cw_key", _row_key(quoted(id_col), F.sha2(normalised(quoted(text_col)).cast("binary"), 256)))
+    marked = marked.withColumn("__cw_len", F.length(F.coalesce(quoted(text_col), F.lit(""))))
+    one = Window.partitionBy("__cw_key").orderBy(F.col("__cw_len").desc(), quoted(text_col))
+    met = marked.join(stays, "__cw_key", "left_semi")
     return met.withColumn("__cw_nth", F.row_number().over(one)).where("__cw_nth = 1").select(*[quoted(c) for c in docs.columns])
 
 

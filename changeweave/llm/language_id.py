@@ -10,8 +10,8 @@ texts ``CHUNK`` characters at a time.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any labelled document every
 text is ``und``; a null id is not held out and not learned from; null langs are not learned from; repeated rows are
-predicted each; one language alone is predicted with score 1; empty tables give empty results; other columns are
-ignored.
+predicted each; one language alone is predicted with score 1; ties of votes go to the larger product of chances, then to the larger
+name; rows of one id count as labelled rows each; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ PER_LANGUAGE = 400
 DIMENSIONS = 1 << 15
 CHUNK = 1 << 20
 EPOCHS = 12
+#: Parts of a language's rows that are ranked apart before the language is.
+SLICES = 128
 #: Language -> family, by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -53,25 +55,41 @@ def family_of(lang: str) -> str:
 
 def letters(text: str) -> str:
     """The lower-cased runs of letters, with one space between and around them."""
-    runs = LETTERS.findall(text.lower())
-    return f" {' '.join(runs)} " if runs else ""
-
-
-def gram_counts(text: str) -> np.ndarray | None:
-    """Hashed counts of character 1- to 3-grams; None without a letter."""
-    total = None
-    for i in range(0, len(text), CHUNK):
-        part = letters(text[i : i + CHUNK])
-        if len(part) < 3:
-            continue
-        c = np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return "".join(pieces(text, len(text) or 1))
+
+
+def pieces(text: str, chunk: int) -> Iterator[str]:
+    """``letters`` in pieces, from ``chunk`` characters at a time: joined they are the same whatever the chunk."""
+    inside, any_run = False, False  # whether the last piece ended within a run
+    for i in range(0, len(text), chunk):
+        part = text[i : i + chunk]
+        runs = LETTERS.findall(part)
+        if runs:
+            joined = " ".join(runs).lower()
+            yield joined if inside and LETTERS.match(part) else " " + joined
+            any_run = True
+            inside = LETTERS.match(part[-1]) is not None
+        else:
+            inside = False
+    if any_run:
+        yield " "
+
+
+def gram_counts(text: str, chunk: int = CHUNK) -> np.ndarray | None:
+    """Hashed counts of character 1- to 3-grams; None without a letter. Two characters are carried from chunk to chunk."""
+    total, held = None, np.zeros(0, np.uint64)
+    for part in pieces(text, chunk):
+        new = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        c = np.concatenate([held, new])
         if total is None:
             total = np.zeros(DIMENSIONS)
         h = np.zeros(len(c), np.uint64)
         for n in range(1, 4):
             h = h[: len(c) - n + 1] * np.uint64(0x100000001B3) + c[n - 1 :] + np.uint64(n)
-            slot = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
+            fresh = h[max(0, len(held) - n + 1) :]  # grams that end in the new characters
+            slot = (fresh * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)
             total += np.bincount(slot.astype(np.int64), minlength=DIMENSIONS)
+        held = c[-2:]
     return total
 
 
@@ -149,8 +167,12 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of a bounded sample of the labelled rows."""
     labelled = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id").distinct()
+    # the smallest id hashes of each slice of a language, then of the language: no task ranks all rows of one
+    slices = Window.partitionBy("lang", "slice").orderBy("h", "doc_id")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    hashed = labelled.distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(SLICES)))
+    few = hashed.withColumn("nth", F.row_number().over(slices)).where(F.col("nth") <= per_language)
+    chosen = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id").distinct()
     ids = [r[0] for r in chosen.collect()]  # per_language ids for each language
     if not ids:
         return None

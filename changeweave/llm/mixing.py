@@ -12,12 +12,15 @@ The cut is found from per-(source, hash bucket) sums, so documents of a hot sour
 ``buckets`` slices of it, and the join back is by (source, bucket), never by the source alone.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, ranked last; sources
-without words have target 0; a null id hashes as the empty string; repeated rows count each; an empty table
+without words have target 0; a null id hashes as the empty string; repeated rows count each; equal hashes are ordered
+by id, then size; a cap may be fractional, and a document is taken at most its ceiling many times; an empty table
 gives an empty mix; other columns are ignored, or kept in ``mix_rows``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +94,24 @@ def _taken(rows: DataFrame, weights: DataFrame | None, max_epochs: float, seed:
     within = Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     once_more = (F.col("start") + F.col("size") / 2.0 <= F.col("rest")).cast("long")
-    out = met.withColumn("start", start).withColumn("copies", F.least(F.col("epochs") + once_more, F.lit(int(max_epochs)).cast("long")))
+    out = met.withColumn("start", start).withColumn("copies", F.least(F.col("epochs") + once_more, F.lit(math.ceil(max_epochs)).cast("long")))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = MAX_EPOCHS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row as many times as it is taken, with all columns of ``docs`` and ``repetition`` from 1."""
+    """The mix itself: every row as many times as it is taken, with all columns of ``docs`` and ``repetition`` from 1.
+
+    Where ``docs`` has a column ``repetition``, that one is kept and the new one is ``mix_repetition``.
+    """
+    nth = "repetition"
+    while nth in docs.columns:
+        nth = f"mix_{nth}"
     plan = mix(docs, weights, max_epochs, seed, id_col, text_col, source_col)
     plan = plan.groupBy(F.col("doc_id").alias("__cw_id"), F.col("source").alias("__cw_source"), F.col("size").alias("__cw_size")).agg(F.max("copies").alias("__cw_copies"))
     own = docs.withColumn("__cw_own", word_count(quoted(text_col)))
     met = own.join(plan, quoted(id_col).eqNullSafe(F.col("__cw_id")) & quoted(source_col).eqNullSafe(F.col("__cw_source")) & (F.col("__cw_own") == F.col("__cw_size")))
     many = met.where("__cw_copies > 0").withColumn("__cw_nth", F.explode(F.sequence(F.lit(1), F.col("__cw_copies").cast("int"))))
-    return many.select(*[quoted(c) for c in docs.columns if c != "repetition"], F.col("__cw_nth").alias("repetition"))
+    return many.select(*[quoted(c) for c in docs.columns], F.col("__cw_nth").alias(nth))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ The lexicon is learned from at most ``PER_LABEL`` labelled documents of each lab
 that occur in toxic documents clearly more often (lower confidence bound of the log odds). Its words sit in a
 trie; a token is matched by intersecting the trie with the Levenshtein automaton of its length class: the product
 automaton is built lazily, state by state, and states once built are table look-ups. Tokens that match no word are
-tried against the stems, longest first.
+tried against the stems, longest first. The lexicon takes every term of the sample that passes the bounds below, so
+its size is bounded by the sample's: a term needs ``LEAST_DOCS`` toxic documents of it, and ``LEAST_SHARE`` of them.
 
 Every hit is weighed by the tokens around it: quotation marks on both sides, or words of reporting, without an
 address in the second person make it a quotation, which counts in features of its own. A logistic model over the
@@ -12,7 +13,8 @@ features, fitted on the same bounded sample, gives the score. Scoring reads ever
 
 Defined cases: null and empty texts have no hits and get the model's score for none; without labelled documents of
 both labels a fixed model over the built-in words is used; null ids are scored, not held out and not learned from;
-null labels are not learned from; a document labelled twice takes the larger label; repeated rows are scored each;
+null labels are not learned from; a document labelled twice takes the larger label; of rows that repeat an id the
+largest text is learned from; equal id hashes in the sample are ordered by id; repeated rows are scored each;
 empty tables give empty results; other columns are ignored, or kept in ``drop_toxic``.
 """
 
@@ -31,8 +33,6 @@ from changeweave.llm.common import TOKENS, crc_bucket, quoted, table
 
 #: Labelled documents per label that lexicon and model are fitted on, at most.
 PER_LABEL = 4000
-#: Words, and stems, in the lexicon, at most.
-TERMS = 500
 #: Lower bound of a term's log odds, and the share of the toxic sample that has it (4 documents at least).
 LEAST_ODDS, LEAST_SHARE, LEAST_DOCS = 1.4, 0.008, 4
 STEM_LENGTHS = range(3, 9)
@@ -180,7 +180,7 @@ def features(text: str | None, found: Found) -> list[float]:
             direct += 1
             addressed_hits += addressed
         best[kind][term] = weight
-    sums = {k: min(sum(v.values()), 30.0) for k, v in best.items()}
+    sums = {k: sum(v.values()) for k, v in best.items()}
     return [sums["exact"], sums["fuzzy"], sums["stem"], sums["quoted"], math.log1p(direct), math.log1p(addressed_hits), direct / math.sqrt(len(tokens))]
 
 
@@ -190,7 +190,7 @@ def odds_bound(n1: int, n0: int, all1: int, all0: int) -> tuple[float, float]:
     return odds, odds - 1.96 * math.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
 
 
-def _terms(sample: DataFrame, units, all1: int) -> list[tuple[str, int, int]]:
+def _terms(sample: DataFrame, units, all1: int, all0: int) -> list[tuple[str, int, int]]:
     """(term, toxic documents, other documents) of the terms that enough toxic documents have; units: text -> set of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +203,9 @@ def _terms(sample: DataFrame, units, all1: int) -> list[tuple[str, int, int]]:
 
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * all1))
     counted = sample.select("text", "toxic").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("n1") >= least)
-    # of these, the best by a bound that is monotone in the true one: at most 20 times what the lexicon takes
-    ranked = counted.orderBy(F.desc(F.col("n1") / (F.col("n0") + 1.0)), F.desc("n1"), "term").limit(20 * TERMS)
-    return [(r[0], r[1], r[2]) for r in ranked.collect()]
+    # the bound of the log odds is below the odds themselves: what they exclude here, it would exclude
+    odds = F.log((F.col("n1") + 0.5) / (all1 + 1)) - F.log((F.col("n0") + 0.5) / (all0 + 1))
+    return sorted((r[0], r[1], r[2]) for r in counted.where(odds >= LEAST_ODDS).collect())
 
 
 def learn_lexicon(sample: DataFrame, all1: int, all0: int) -> tuple[dict[str, float], dict[str, float]]:
@@ -215,10 +215,10 @@ def learn_lexicon(sample: DataFrame, all1: int, all0: int) -> tuple[dict[str, fl
         return words, {}
 
     def kept(units) -> list[tuple[float, float, str]]:
-        rows = [(*odds_bound(n1, n0, all1, all0)[::-1], t) for t, n1, n0 in _terms(sample, units, all1)]
+        rows = [(*odds_bound(n1, n0, all1, all0)[::-1], t) for t, n1, n0 in _terms(sample, units, all1, all0)]
         return sorted((r for r in rows if r[0] >= LEAST_ODDS), key=lambda r: (-r[0], r[2]))
 
-    words |= {t: odds for _, odds, t in kept(lambda text: {t for t in TOKENS.findall((text or "").lower()) if 4 <= len(t) <= 40})[:TERMS]}
+    words |= {t: odds for _, odds, t in kept(lambda text: {t for t in TOKENS.findall((text or "").lower()) if len(t) >= 4})}
 
     def stems_of(text: str | None) -> set[str]:
         return {t[:k] for t in set(TOKENS.findall((text or "").lower())) for k in STEM_LENGTHS if len(t) >= k}
@@ -231,8 +231,7 @@ def learn_lexicon(sample: DataFrame, all1: int, all0: int) -> tuple[dict[str, fl
         above = [stems[t[:k]][0] for k in STEM_LENGTHS if k < len(t) and t[:k] in stems]
         if not above or bound > max(above) + 0.7:
             stems[t] = (bound, odds)
-    best = sorted(stems, key=lambda t: (-stems[t][0], t))[:TERMS]
-    return words, {t: stems[t][1] for t in best}
+    return words, {t: odds for t, (_, odds) in stems.items()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -263,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"words": {w: BUILT_IN_ODDS for w in BUILT_IN}, "stems": {}, "weights": DEFAULT_WEIGHTS}
     toxic_ids, ids = [i for i, y in chosen.items() if y], list(chosen)
     sample = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text")).where(F.col("doc_id").isin(ids)).withColumn("toxic", F.col("doc_id").isin(toxic_ids).cast("int"))
-    sample = sample.dropDuplicates(["doc_id"]).persist()
+    sample = sample.groupBy("doc_id", "toxic").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", "toxic").persist()
     try:
         n = dict(sample.groupBy("toxic").count().collect())
         words, stems = learn_lexicon(sample, n.get(1, 0), n.get(0, 0))
@@ -285,7 +284,7 @@ def score(docs: DataFrame, model: dict, keep: list[str], text_col: str = "text")
     """keep + score, predicted."""
     src = docs.select(*[quoted(c) for c in keep], quoted(text_col).alias("__cw_text"))
     schema = src.drop("__cw_text").schema.add("score", "double").add("predicted", "integer")
-    state = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 * TERMS + built-in terms
+    state = docs.sparkSession.sparkContext.broadcast(model)  # the terms of a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = state.value
