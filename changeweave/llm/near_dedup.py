@@ -208,7 +208,7 @@ def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
     least = math.floor(COORDINATES * j - 5 * math.sqrt(COORDINATES * j * (1 - j)))
     found, rows = [], written(branch(classes, percent, TREES))
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").count().where("count > 1")
+        sizes = written(rows.groupBy("node").count().where("count > 1"))  # written, so that Spark can split a hot node in the join
         met = rows.join(sizes, "node")
         found.append(written(leaf_edges(met.where(F.col("count") <= LEAF).join(classes, "key"), least).distinct()))
         big = met.where(F.col("count") > LEAF)
@@ -216,10 +216,12 @@ def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
             deeper = written(branch(big.join(classes, "key").select("key", "sketch", "node"), percent))
             more = not deeper.isEmpty()
         else:
-            heads = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).where(F.col("n") > LEAF)
+            heads = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).where(F.col("n") > LEAF))
             found.append(written(rows.join(heads, "node").where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
+            forget(heads)
             more, deeper = False, None
         forget(rows)
+        forget(sizes)
         rows = deeper
         if not more:
             break
@@ -230,12 +232,13 @@ def components(edges: DataFrame) -> DataFrame:
     """Written table (node, root): root is the smallest node of its component. Nodes without an edge are absent.
 
     Alternating star contractions: large stars hang bigger neighbours on the smallest, small stars the smaller ones.
-    The edges shrink to stars in O(log n) rounds; each round is written, so no lineage grows.
+    The edges shrink to stars in O(log n) rounds; each round is written, so no lineage grows. The smallest neighbours are
+    written before the edges meet them: both sides of the join are then plain shuffles, and Spark splits a star's centre.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
@@ -245,6 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
         bad = roots.join(leaves, "n", "left_semi").select(F.lit(1)).union(leaves.groupBy("n").count().where("count > 1").select(F.lit(1)))
         done = bad.isEmpty()
         forget(now)
+        forget(low)
         now = new
         if done:
             out = written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
@@ -278,7 +282,7 @@ def links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]
 
 def confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """(a, b): confirmed edges. groups: (node, root) of candidate groups; classes: key, rep."""
-    sizes = groups.groupBy("root").count()
+    sizes = written(groups.groupBy("root").count())
     spread = groups.join(sizes, "root").withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     # a member of chunk c belongs to the units of all pairs of chunks that c is in
     units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
@@ -324,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     forget(groups)
     forget(real)
     named = classes.select("key", "rep").join(linked, classes["key"] == linked["node"], "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    lowest = written(named.groupBy("root").agg(F.min("rep").alias("component_id")))
     by_key = named.join(lowest, "root").select("key", "component_id")
     out = own.join(by_key, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
