@@ -128,10 +128,9 @@ def test_decontamination(spark, docs):
     assert {(r.doc_id, r.query, r.start, r.length) for r in near} == {(i, "a", 1, 3) for i in (5, 6, 7, 8, 9)}
 
 
-def test_decontamination_in_several_blocks(spark, docs, monkeypatch):
+def test_decontamination_in_several_shards(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, " ".join(WORDS[i : i + 9])) for i in range(0, 40, 4)], "item_id long, text string")
     whole = sorted(map(str, decontaminate.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
     monkeypatch.setattr(decontaminate, "SHARD_BYTES", 300)
     monkeypatch.setattr(decontaminate, "CANDIDATES", 7)
     assert sorted(map(str, decontaminate.contamination(docs, bench).collect())) == whole
