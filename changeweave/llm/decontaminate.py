@@ -125,15 +125,16 @@ class Index:
 
     def _answers(self, asked: DataFrame, answer, columns: str) -> DataFrame:
         each = asked.select("phrase", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("offset", "term"))
-        vocabulary = each.select("term").distinct()
+        # written: Spark then knows the sizes of the test set's side before it plans to move the index's
+        vocabulary = written(each.select("term").distinct().union(self.stored.sparkSession.createDataFrame([(STARTS,)], "term string")))
         frequency = self.postings.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
         rarest = F.min(F.struct("df", "offset", "term"))
         rare = each.join(frequency, "term").groupBy("phrase", "n_terms").agg(F.count(F.lit(1)).alias("have"), rarest.alias("r")).where("have = n_terms").select("phrase", F.col("r.term").alias("term"))
-        rare = written(rare)  # small beside the postings, and asked twice
-        places = rare.join(self.postings.select("term", F.col("shard").alias("place")), "term").select("place", "phrase")
-        # the lists of the shards that may have a phrase, and of the terms that such phrases have
-        terms = asked.join(rare.select("phrase"), "phrase", "left_semi").select(F.explode("terms").alias("term")).distinct().union(self.stored.sparkSession.createDataFrame([(STARTS,)], "term string"))
-        lists = self.postings.join(terms, "term", "left_semi").join(places.select(F.col("place").alias("shard")).distinct(), "shard", "left_semi")
+        rare = written(rare)
+        places = written(rare.join(self.postings.select("term", F.col("shard").alias("place")), "term").select("place", "phrase"))
+        forget(rare)
+        # the lists of the test set's terms, in the shards that may have a phrase
+        lists = self.postings.join(vocabulary, "term", "left_semi").join(places.select(F.col("place").alias("shard")).distinct(), "shard", "left_semi")
 
         def run(key: tuple, phrases: pa.Table, lists: pa.Table) -> pa.Table:
             got = answer(Shard.of(lists), phrases["phrase"].to_pylist()) if phrases.num_rows else []
