@@ -45,7 +45,7 @@ def test_stages(spark, tmp_path):
                 w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)}))
                 own = {n: {tuple(w[j : j + n]) for j in range(len(w) - n + 1)} for n in {min(8, len(b)) for b in bench if b}}
                 n_items = sum(any(tuple(b[j : j + 8]) in own[min(8, len(b))] for j in range(max(len(b) - 7, 1))) for b in bench if b)
-                assert (i in kept) == (n_items < 2)
+                assert (i in kept) == (n_items == 0)
         else:
             plan = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
             assert {i: kept.count(i) for i in before} == plan
@@ -63,3 +63,25 @@ def test_passages_of_one_item_go(spark):
     quoting = {r.doc_id for r in judged if r.n_items == 1}
     kept = {r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, SF).collect()}
     assert quoting and kept == {r.doc_id for r in judged if r.n_items == 0}
+
+
+def test_planted_passage_goes_with_one_item(spark, tmp_path):
+    """A document that quotes one item goes; the flag of the operator itself asks for two."""
+    passage = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([(1, passage), (2, "some other item of eight words or more here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, f"before it {passage.upper()} and after"), (2, "clean words only"), (3, None), (4, ""), (None, passage)], "doc_id long, text string")
+    kept = corpus_pipeline.without_benchmark(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4] and kept.columns == docs.columns
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, clashing columns and an empty table, through every stage."""
+    spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "never in any text here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, None, None, "a", 0, "x"), (2, "", "en", None, 0, "x"), (None, "a text without id", "en", "a", 0, "y"), (3, "one two", None, "b", 7, "z"), (3, "one two", None, "b", 7, "z"), (4, "w " * 30_000, "en", "b", 0, "z")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, repetition string")
+    for docs in (odd, odd.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            n = docs.count()
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == odd.columns + ["mix_repetition"] * (k == 4) and (k == 4 or docs.count() <= n)
