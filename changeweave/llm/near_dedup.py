@@ -206,25 +206,31 @@ def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
     """Written tables of candidate edges (a, b) between class keys. classes: key, sketch."""
     j = percent / 100
     least = math.floor(COORDINATES * j - 5 * math.sqrt(COORDINATES * j * (1 - j)))
-    found, rows = [], written(branch(classes, percent, TREES))
+    found, rows, pool = [], written(branch(classes, percent, TREES)), classes
     for level in range(1, DEPTH + 1):
         sizes = written(rows.groupBy("node").count().where("count > 1"))  # written, so that Spark can split a hot node in the join
-        met = rows.join(sizes, "node")
-        found.append(written(leaf_edges(met.where(F.col("count") <= LEAF).join(classes, "key"), least).distinct()))
+        met = written(rows.join(sizes, "node").join(pool, "key"))
+        if pool is not classes:
+            forget(pool)
+        found.append(written(leaf_edges(met.where(F.col("count") <= LEAF), least).distinct()))
         big = met.where(F.col("count") > LEAF)
         if level < DEPTH:
-            deeper = written(branch(big.join(classes, "key").select("key", "sketch", "node"), percent))
+            deeper = written(branch(big.select("key", "sketch", "node"), percent))
+            pool = written(big.groupBy("key").agg(F.min("sketch").alias("sketch")))  # only these are sketched against from here on
             more = not deeper.isEmpty()
         else:
-            heads = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("b")).where(F.col("n") > LEAF))
-            found.append(written(rows.join(heads, "node").where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
+            heads = written(big.groupBy("node").agg(F.min("key").alias("b")))
+            found.append(written(big.select("node", "key").join(heads, "node").where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
             forget(heads)
             more, deeper = False, None
-        forget(rows)
-        forget(sizes)
+        for t in (rows, sizes, met):
+            forget(t)
         rows = deeper
         if not more:
             break
+    for t in (rows, pool):
+        if t is not None and t is not classes:
+            forget(t)
     return found
 
 
