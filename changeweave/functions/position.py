@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changeweave.functions.scalars import sha
+
 HALVES = r"^([0-9A-Fa-f]{1,8})/([0-9A-Fa-f]{1,8})$"
 ORDINAL = r"^[0-9]+$"
 
@@ -52,3 +54,8 @@ def canonical_py(text: str) -> str:
 def number_py(text: str) -> int:
     hi, _, lo = canonical_py(text).partition("/")
     return (int(hi, 16) << 32) | int(lo, 16) if lo else int(hi)
+
+
+def checkpoint_id(entries: dict[str, Column]) -> Column:
+    """Id of a checkpoint from its named entries, whatever their order."""
+    return F.concat(F.lit("checkpoint:"), sha(*[c for name in sorted(entries) for c in (F.lit(name), entries[name])]))

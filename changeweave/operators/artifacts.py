@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType
 
-from changeweave.functions.scalars import path_token, sha
+from changeweave.functions.scalars import framed, path_token, sha
+from changeweave.functions.scratch import forget, written
 
 
 def plan(df: DataFrame, txn: str = "xid", order: str = "seq", tbl: str = "tbl", version: str = "version", op: str = "op") -> DataFrame:
@@ -34,14 +37,25 @@ def misplaced(rows: DataFrame, manifests: DataFrame, keys: list[str]) -> DataFra
 
 
 def chunks(df: DataFrame, within: list[str], order: str, size: Column, most_rows: int, most_bytes: int) -> DataFrame:
-    """Adds ``chunk``: rows in order, cut where the running rows or bytes pass a multiple of the limit.
+    """Adds ``chunk``, from 0: rows in order, a new chunk where one more row would pass either limit.
 
-    A chunk has at most ``most_rows`` rows and less than ``most_bytes`` plus its last row.
+    A chunk passes the limit of bytes only if it is a single row. Where a chunk begins depends on all before it, so the
+    sizes of a group (of a transaction, as a rule) go through Python one after another; other columns don't.
     """
-    w = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = F.floor((F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1) / most_rows)
-    held = F.floor((F.sum(size).over(w) - 1) / most_bytes)
-    return df.withColumn("chunk", F.struct(rows.alias("by_rows"), held.alias("by_bytes")))
+    slim = df.select(*within, order, F.coalesce(size, F.lit(0)).cast("long").alias("__size"))
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        chunk, rows, held, out = 0, 0, 0, []
+        for n in g["__size"]:
+            if rows and (rows == most_rows or held + n > most_bytes):
+                chunk, rows, held = chunk + 1, 0, 0
+            rows, held = rows + 1, held + n
+            out.append(chunk)
+        return g.drop(columns="__size").assign(chunk=out)
+
+    made = slim.groupBy(*within).applyInPandas(walk, StructType([*slim.drop("__size").schema, StructField("chunk", LongType())]))
+    return df.join(made, [*within, order])
 
 
 def bisected(df: DataFrame, txn: str, order: str, size: Column, most: int) -> DataFrame:
@@ -68,10 +82,48 @@ def bisected(df: DataFrame, txn: str, order: str, size: Column, most: int) -> Da
     return t.withColumn("__p", F.explode(pieces)).select(txn, p["lo"].alias("first"), (p["hi"] - p["lo"]).alias("n_rows"), weight(p).alias("bytes"), p["n"].cast("long").alias("halvings"))
 
 
-def ancestry(spark: SparkSession, snapshots: DataFrame, head: int) -> DataFrame:
-    """The head snapshot and its ancestors: what is absent here was never committed on this line."""
-    snapshots.createOrReplaceTempView("changeweave_snapshots")
-    return spark.sql(f"WITH RECURSIVE a AS (SELECT id, parent FROM changeweave_snapshots WHERE id = {int(head)} UNION ALL SELECT s.id, s.parent FROM a JOIN changeweave_snapshots s ON s.id = a.parent) SELECT id FROM a")
+def ancestry(snapshots: DataFrame, head: int) -> DataFrame:
+    """The head snapshot and its ancestors: what is absent here was never committed on this line.
+
+    Jumps double from round to round, so a line of n snapshots takes log2(n) rounds, each on written tables. A loop of
+    parents ends like a line: each snapshot counts once.
+    """
+    spark = snapshots.sparkSession
+    jump = written(snapshots.select("id", F.col("parent").alias("up")).where("up IS NOT NULL"))
+    met = written(snapshots.where(F.col("id") == head).select("id").distinct())
+    n = met.count()
+    while True:
+        further = written(met.union(met.join(jump, "id").select(F.col("up").alias("id"))).distinct())
+        twice = written(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("upper")), "up").select("id", F.col("upper").alias("up")).distinct())
+        for t in (met, jump):
+            forget(t)
+        met, jump, grown = further, twice, further.count()
+        if grown == n:
+            return spark.read.parquet(met._changeweave_path).join(snapshots.select("id").distinct(), "id", "left_semi")
+        n = grown
+
+
+def projected_rows(df: DataFrame, columns: list[str], unchanged: Column, pos: str = "pos", ordinal: str = "ordinal", batch: str = "xid") -> DataFrame:
+    """Rows as an artifact holds them: position, ordinal, batch and the names of unchanged columns beside the columns."""
+    return df.select(F.col(pos).alias("_pos"), F.col(ordinal).alias("_seq"), F.col(batch).alias("_batch_id"), F.to_json(unchanged).alias("_unchanged"), *columns)
+
+
+def verified(rows: DataFrame, manifests: DataFrame, artifact: str, order: str, columns: list[str]) -> DataFrame:
+    """Per artifact whether its rows are those that the manifest (artifact, n_rows, digest) promises: ok, rows, content or missing."""
+    row = framed(*[F.col(c) for c in columns])
+    seen = rows.groupBy(artifact).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("__rows"))
+    digest = F.sha2(F.array_join(F.transform("__rows", lambda x: framed(x["r"])), "").cast("binary"), 256)
+    met = manifests.join(seen, artifact, "left")
+    state = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") != F.col("n_rows"), "rows").when(digest != F.col("digest"), "content").otherwise("ok")
+    return met.select(artifact, state.alias("state"))
+
+
+def batch_sizes(df: DataFrame, batch: str, columns: list[str]) -> DataFrame:
+    """Estimated bytes per batch: the text of every value, nested ones as JSON, and two bytes for what stands between."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    one = lambda c: F.octet_length(F.to_json(F.struct(c)) if isinstance(kinds[c], (ArrayType, MapType, StructType)) else F.col(c).cast("string"))
+    row = sum((F.coalesce(one(c), F.lit(4)) + 2 for c in columns), F.lit(0))
+    return df.groupBy(batch).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(row.cast("long")).alias("bytes"))
 
 
 def summary_match(snapshots: DataFrame, expected: DataFrame) -> DataFrame:

@@ -65,3 +65,47 @@ def regressions(df: DataFrame, flow: str, order: str, pos: str) -> DataFrame:
 def key_json(cols: list[str]) -> Column:
     """The key as a JSON object with sorted names, nulls kept."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(cols)]), {"ignoreNullFields": "false"})
+
+
+def ddl_segments(df: DataFrame, txn: str, order: str, ddl: Column) -> DataFrame:
+    """Adds ``segment``: how many schema changes of its transaction a row has met, itself included. Rows of one segment share a schema."""
+    w = Window.partitionBy(txn).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("segment", F.sum(ddl.cast("long")).over(w))
+
+
+def schema_versions(df: DataFrame, overrides: DataFrame, aborted: DataFrame, txn: str, order: str, subtxn: str = "subxid") -> DataFrame:
+    """Adds ``version``: the overrides of a row's transaction up to it, without those of aborted sub-transactions."""
+    kept = committed(overrides, aborted, subtxn).select(txn, order, F.lit(True).alias("__override"))
+    met = df.join(kept, [txn, order], "left")
+    return ddl_segments(met, txn, order, F.coalesce("__override", F.lit(False))).withColumnRenamed("segment", "version").drop("__override")
+
+
+#: Columns of ``full_rows``, in order.
+FULL = (
+    "flow", "incarnation", "lineage", "revision", "batch_id", "content_hash", "position", "xid", "begin_lsn", "commit_lsn", "end_lsn", "fragment", "ordinal", "namespace",
+    "tbl", "schema_version", "schema_fingerprint", "schema_json", "op", "tombstone", "key_json", "before_json", "after_json", "payload", "ddl_plan", "event_time", "record_hash", "version",
+)
+
+
+def full_rows(df: DataFrame, digests: DataFrame, names: dict[str, str], keys: list[str], columns: list[str], lsn: str = "lsn", pos: str = "pos", order: str = "seq", checkpoint_time: Column | None = None) -> DataFrame:
+    """The immutable changelog rows that an append-only target keeps, one per change (columns: FULL).
+
+    digests: xid, batch_id, content_hash. names: flow, incarnation, lineage, revision, namespace, tbl. The event time is
+    the record's, else the checkpoint's, else the epoch. ``version`` is the position: the highest of an identity wins.
+    """
+    from changeweave.functions.scalars import sha
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema_json = F.lit("{" + ",".join(f'"{c}":"{kinds[c]}"' for c in [*keys, *columns]) + "}")
+    json = lambda cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    w = Window.partitionBy("xid")
+    gone = F.col("op") == "delete"
+    rows = df.withColumn("begin_lsn", F.min_by(lsn, pos).over(w)).withColumn("commit_lsn", F.max_by(lsn, pos).over(w)).withColumn("ordinal", (F.row_number().over(w.orderBy(order)) - 1).cast("long"))
+    made = rows.join(digests, "xid").select(
+        *[F.lit(names[n]).alias(n) for n in ("flow", "incarnation", "lineage", "revision", "namespace", "tbl")], "batch_id", "content_hash", F.col("commit_lsn").alias("position"), "xid", "begin_lsn", "commit_lsn",
+        F.col("commit_lsn").alias("end_lsn"), F.lit(0).cast("long").alias("fragment"), "ordinal", F.lit(1).cast("long").alias("schema_version"), F.sha2(schema_json.cast("binary"), 256).alias("schema_fingerprint"),
+        schema_json.alias("schema_json"), "op", gone.alias("tombstone"), key_json(keys).alias("key_json"), F.when(gone, key_json(keys)).alias("before_json"), F.when(~gone, json([*keys, *columns])).alias("after_json"),
+        F.lit("").alias("payload"), F.lit("").alias("ddl_plan"), F.coalesce(F.col("ts"), checkpoint_time if checkpoint_time is not None else F.lit(None), F.lit("1970-01-01").cast("timestamp_ntz")).alias("event_time"),
+        sha(*[F.col(c) for c in (*keys, "op", *columns)]).alias("record_hash"), F.col(pos).alias("version"),
+    )
+    return made.select(*FULL)

@@ -100,8 +100,8 @@ def snapshot_plus_stream(snapshot: DataFrame, stream: DataFrame, at: int, order:
 
 def newest(df: DataFrame, identity: list[str], version: str, *ties: str) -> DataFrame:
     """One row per identity, of the highest version: what a replacing table shows."""
-    w = Window.partitionBy(*identity).orderBy(F.col(version).desc(), *[F.col(t).desc() for t in ties])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    rows = df.groupBy(*identity).agg(F.max_by(F.struct(*df.columns), F.struct(version, *ties)).alias("__row"))
+    return rows.select("__row.*")
 
 
 def partial(df: DataFrame, keys: list[str], columns: dict[str, str | None], order: str = "seq", op: str = "op") -> DataFrame:

@@ -85,9 +85,24 @@ def next_versions(registry: DataFrame, subjects: DataFrame, subject: str = "subj
     return subjects.select(subject).distinct().join(top, subject, "left").select(subject, (F.coalesce("__v", F.lit(0)) + 1).cast("long").alias("next_version"))
 
 
-def nearest_rank(df: DataFrame, col: str, *percents: int) -> DataFrame:
-    """Nearest-rank quantiles: values that occur."""
-    return df.agg(*[F.expr(f"percentile_disc({p / 100.0}) WITHIN GROUP (ORDER BY {col})").alias(f"p{p}") for p in percents])
+def nearest_rank(df: DataFrame, col: str, *percents: int, ranges: int = 4096) -> DataFrame:
+    """Nearest-rank quantiles: values that occur, in one row.
+
+    Values are counted by range first, then the ranges that hold a rank by value: no task holds all distinct values.
+    """
+    v = df.where(F.col(col).isNotNull()).select(F.col(col).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ends = v.agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), F.sum("n").alias("total"))  # one row
+    at = F.floor((F.col("v").cast("double") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * (ranges - 1)).cast("int")
+    placed = v.join(F.broadcast(ends)).withColumn("part", at)
+    parts = placed.groupBy("part").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    wanted = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.greatest(F.ceil(F.col("total") * p / 100.0), F.lit(1)).alias("rank")) for p in percents]))
+    held = parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).select("part", "m", "before", wanted.alias("w"))
+    held = held.where((F.col("w.rank") > F.col("before")) & (F.col("w.rank") <= F.col("before") + F.col("m"))).select("part", "before", "w.p", "w.rank")
+    running = Window.partitionBy("part", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.select("v", "n", "part").join(F.broadcast(held), "part").withColumn("upto", F.col("before") + F.sum("n").over(running))
+    found = inside.where(F.col("upto") >= F.col("rank"))
+    return found.agg(*[F.min(F.when(F.col("p") == p, F.col("v"))).alias(f"p{p}") for p in percents])
 
 
 def trace_violations(trace: DataFrame, flow: str = "flow", order: str = "seq") -> DataFrame:
@@ -99,6 +114,72 @@ def trace_violations(trace: DataFrame, flow: str = "flow", order: str = "seq") -
     return t.withColumn("violation", broken).where("violation IS NOT NULL").select(flow, order, "event", "pos", "violation")
 
 
+def trace_coverage(trace: DataFrame, actions: list[str], invariants: DataFrame | None = None) -> DataFrame:
+    """How often a trace has each action, 0 for those it lacks, and how often each violated invariant; kind tells them apart."""
+    spark = trace.sparkSession
+    every = spark.createDataFrame([(a,) for a in actions], "name string")
+    seen = trace.groupBy(F.col("event").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    out = every.join(seen, "name", "full_outer").select(F.lit("action").alias("kind"), "name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    if invariants is None:
+        return out
+    return out.unionByName(invariants.groupBy(F.col("violation").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("violation").alias("kind"), "name", "n"))
+
+
+def next_candidate(objects: DataFrame, first: Column, *order: str) -> DataFrame:
+    """The one object that collection takes next: those for which ``first`` holds before others, then by the order."""
+    return objects.orderBy(first.desc_nulls_last(), *order).limit(1)
+
+
+def latest_by(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """Per key the columns of its row of the highest order; aggregates map-side."""
+    top = F.max_by(F.struct(order, *columns), order).alias("__top")
+    return df.where(F.col(order).isNotNull()).groupBy(key).agg(top).select(key, "__top.*")
+
+
+def lag(df: DataFrame, key: str, pos: str, acked: Column) -> DataFrame:
+    """Per key how far the acknowledged positions are behind the last one; all of it where nothing is acknowledged."""
+    return df.groupBy(key).agg((F.max(pos) - F.max(F.when(acked, F.col(pos)).otherwise(F.lit(0)))).alias("lag"))
+
+
+def quota(df: DataFrame, key: str, size: str, live: Column) -> DataFrame:
+    """Per key the bytes that are live and all bytes."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return df.groupBy(key).agg(total(F.when(live, F.col(size))).alias("live_bytes"), total(F.col(size)).alias("all_bytes"))
+
+
+def active(started: list[DataFrame], ended: DataFrame, identity: str, by: str) -> DataFrame:
+    """How many executions of all lists have not ended, per group."""
+    both = started[0].select(identity, by)
+    for more in started[1:]:
+        both = both.unionAll(more.select(identity, by))
+    return both.join(ended.select(identity).distinct(), identity, "left_anti").groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def drained(entries: DataFrame, receipts: DataFrame, failed: DataFrame, key: list[str], order: str, destination: str = "destination") -> DataFrame:
+    """What one pass over the outbox delivers: per destination the pending entries before its first failing one."""
+    left = entries.join(receipts.select(*key).distinct(), key, "left_anti")
+    stops = left.join(failed.select(*key).distinct(), key, "left_semi").groupBy(destination).agg(F.min(order).alias("__stop"))
+    return left.join(stops, destination, "left").where(F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).drop("__stop")
+
+
+#: What is known of a delivery, in order.
+STEPS = ("intent", "attempt", "evidence", "receipt")
+
+
+def delivery_state(log: DataFrame, identity: str = "batch_id", step: str = "step") -> DataFrame:
+    """Per delivery what comes next: start (intent only), reconcile (an attempt of unknown outcome: look before trying again),
+    record (evidence that it was applied), done; conflict if evidence or receipt differ in their digest."""
+    has = lambda s: F.bool_or(F.col(step) == s)
+    said = F.size(F.collect_set(F.when(F.col(step).isin("evidence", "receipt"), F.col("digest"))))
+    one = log.groupBy(identity).agg(has("attempt").alias("a"), has("evidence").alias("e"), has("receipt").alias("r"), said.alias("n"))
+    return one.select(identity, F.when(F.col("n") > 1, "conflict").when(F.col("r"), "done").when(F.col("e"), "record").when(F.col("a"), "reconcile").otherwise("start").alias("next"))
+
+
+def vacuous(changes: DataFrame, destinations: DataFrame, change: str = "change", tbl: str = "tbl") -> DataFrame:
+    """Schema changes that no destination is affected by: they are complete without being applied."""
+    return changes.join(destinations.select(tbl).distinct(), tbl, "left_anti").select(change, tbl)
+
+
 # Lifecycle of a flow: state -> states that may follow.
 FLOW_STATES = {"created": ("running", "stopped"), "running": ("paused", "stopping", "failed"), "paused": ("running", "stopping"), "stopping": ("stopped", "failed"), "stopped": ("running",), "failed": ("running", "stopped")}
 

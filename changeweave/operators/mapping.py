@@ -268,3 +268,15 @@ def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def rename_target(t: TableMapping, **changes: object) -> TableMapping:
     return replace(t, **changes)
+
+
+def record_json(columns: list[str]) -> Column:
+    """A record as one JSON object, nulls kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def batch_json(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
+    """Per batch one JSON object with its records in order. A batch is bounded by its transaction."""
+    records = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), record_json(columns).alias("r"))))
+    body = F.concat(F.lit('{"records":['), F.array_join(F.transform(records, lambda x: x["r"]), ","), F.lit("]}"))
+    return df.groupBy(batch).agg(body.alias("body"))

@@ -46,3 +46,8 @@ def replay(deliveries: DataFrame, events: DataFrame, group: str, now: Column, fr
     met = deliveries.join(marks, "event_id", "left")
     again = F.coalesce(F.col("__again"), F.lit(False)) & (F.col("grp") == group)
     return met.withColumn("status", F.when(again, "available").otherwise(F.col("status"))).withColumn("visible_at", F.when(again, now).otherwise(F.col("visible_at"))).drop("__again")
+
+
+def entries(df: DataFrame, stream: str, payload: list[str]) -> DataFrame:
+    """Events as the queue stores them: id, stream, position and payload."""
+    return df.select("id", F.lit(stream).alias("stream"), "lsn", F.to_json(F.struct(*payload)).alias("payload"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeweave.functions import position, scalars
-from changeweave.operators import certify, changelog, evolve, fold, guard, lifecycle, mapping, queue
-from changeweave.sources import backfill, sinks
+from changeweave.operators import artifacts, certify, changelog, evolve, fold, guard, lifecycle, mapping, queue
+from changeweave.sources import backfill, sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def framed(*exprs: str) -> str:
+    """SQL of functions.scalars.framed."""
+    return " || ".join(f"coalesce(length(CAST({e} AS VARCHAR)) || ':' || CAST({e} AS VARCHAR), 'n')" for e in exprs)
+
+
 def _fold_sql(rows: str, p: str = "") -> str:
     """Meaning of the fold in SQL, by windows: the rows after the last delete, and of them the last present values. p: suffix of the CTEs."""
     return f"""z{p} AS (SELECT *, max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY k) AS gone, max(seq) OVER (PARTITION BY k) AS last_order FROM {rows}),
@@ -143,12 +148,12 @@ def cdc_upsert_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cdc_snapshot_plus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir)
-    at = rows.agg(F.max("seq")).first()[0] // 2  # the snapshot's position: one number
-    snapshot = fold.current_state(rows.where(F.col("seq") <= at), ["k"], COLUMNS).select(
+    rows = rows.join(F.broadcast(rows.agg(F.expr("max(seq) div 2").alias("at"))))  # the snapshot's position: one row
+    snapshot = fold.current_state(rows.where("seq <= at"), ["k"], COLUMNS).select(
         "k", F.col("last_order").alias("seq"), F.lit("load").alias("op"), "val", "props", F.lit(True).alias("has_val"), F.lit(True).alias("has_props")
     )
-    stream = rows.where(F.col("seq") >= at - 50).select("k", "seq", "op", "val", "props", "has_val", "has_props")
-    return fold.current_state(fold.snapshot_plus_stream(snapshot, stream, at), ["k"], COLUMNS)
+    stream = rows.where("seq >= at - 50").select("k", "seq", "op", "val", "props", "has_val", "has_props", "at")
+    return fold.current_state(fold.snapshot_plus_stream(snapshot, stream, F.col("at")), ["k"], COLUMNS)
 
 
 @query("cdc_staging_append", "SELECT o_orderkey AS k, o_orderstatus AS status FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 = 0")
@@ -175,8 +180,8 @@ def cdc_final_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cdc_changelog_rows",
-    f"WITH {CL} SELECT sha256('events|' || pos || '|' || (seq % 8)) AS identity, pos AS version, xid, seq % 8 AS ordinal, op, op = 'delete' AS tombstone, '{{\"k\":' || k || '}}' AS key_json, "
-    "sha256(k || '|' || op || '|' || coalesce(CAST(val AS VARCHAR), '') || '|' || coalesce(props, '')) AS row_hash FROM cl",
+    f"WITH {CL} SELECT sha256({framed("'events'", "pos", "seq % 8")}) AS identity, pos AS version, xid, seq % 8 AS ordinal, op, op = 'delete' AS tombstone, '{{\"k\":' || k || '}}' AS key_json, "
+    f"sha256({framed('k', 'op', 'val', 'props')}) AS row_hash FROM cl",
 )
 def cdc_changelog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).withColumn("ordinal", F.col("seq") % 8)
@@ -246,8 +251,7 @@ def cdc_subtxn_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cdc_ddl_segments", f"WITH {CL} SELECT seq, CAST(sum(CASE WHEN seq % 1000 = 500 THEN 1 ELSE 0 END) OVER (PARTITION BY seq // 1000 ORDER BY seq) AS BIGINT) AS segment FROM cl")
 def cdc_ddl_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).select("seq", F.expr("seq div 1000").alias("txn"), (F.col("seq") % 1000 == 500).alias("ddl"))
-    w = Window.partitionBy("txn").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("seq", F.sum(F.col("ddl").cast("long")).over(w).alias("segment"))
+    return changelog.ddl_segments(rows, "txn", "seq", F.col("ddl")).select("seq", "segment")
 
 
 @query("batch_validate", f"WITH {CL} SELECT xid, count(*) AS n, count(DISTINCT event_type) <= 1 AS one_table, NOT (bool_or(seq % 50 = 0) AND bool_or(seq % 50 <> 0)) AS one_kind, true AS known_ops FROM cl GROUP BY xid")
@@ -336,7 +340,7 @@ def wire_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wire_record_json", f"WITH {CL} SELECT seq, '{{\"k\":' || k || ',\"op\":\"' || op || '\",\"val\":' || coalesce(CAST(val AS VARCHAR), 'null') || '}}' AS record FROM cl")
 def wire_record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.from_events(spark, sf_dir).select("seq", F.to_json(F.struct("k", "op", "val"), {"ignoreNullFields": "false"}).alias("record"))
+    return changelog.from_events(spark, sf_dir).select("seq", mapping.record_json(["k", "op", "val"]).alias("record"))
 
 
 # --- positions, digests, tokens ---------------------------------------------------------------------------------------
@@ -355,32 +359,34 @@ def lsn_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lsn_lag", f"WITH {CL} SELECT k, max(pos) - max(CASE WHEN seq % 4 = 3 THEN pos ELSE 0 END) AS lag FROM cl GROUP BY k")
 def lsn_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.from_events(spark, sf_dir).groupBy("k").agg((F.max("pos") - F.max(F.when(F.col("seq") % 4 == 3, F.col("pos")).otherwise(F.lit(0)))).alias("lag"))
+    return lifecycle.lag(changelog.from_events(spark, sf_dir), "k", "pos", F.col("seq") % 4 == 3)
 
 
-@query("content_hash", f"WITH {CL} SELECT xid, sha256(string_agg(k || '|' || op || '|' || coalesce(CAST(val AS VARCHAR), '') || '|' || coalesce(props, ''), ';' ORDER BY seq)) AS digest FROM cl GROUP BY xid")
+@query("content_hash", f"WITH {CL}, r AS (SELECT xid, seq, {framed('k', 'op', 'val', 'props')} AS r FROM cl) SELECT xid, sha256(string_agg({framed('r')}, '' ORDER BY seq)) AS digest FROM r GROUP BY xid")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.batch_digests(changelog.from_events(spark, sf_dir), "xid", "seq", ["k", "op", "val", "props"])
 
 
-@query("logical_batch_id", f"WITH {CL} SELECT xid, 'batch:' || sha256('events|' || max(pos) || '|' || sha256(string_agg(k || '|' || op || '|' || coalesce(CAST(val AS VARCHAR), '') || '|' || coalesce(props, ''), ';' ORDER BY seq))) AS batch_id FROM cl GROUP BY xid")
+@query(
+    "logical_batch_id",
+    f"WITH {CL}, r AS (SELECT xid, seq, pos, {framed('k', 'op', 'val', 'props')} AS r FROM cl), d AS (SELECT xid, max(pos) AS pos, sha256(string_agg({framed('r')}, '' ORDER BY seq)) AS digest FROM r GROUP BY xid) "
+    f"SELECT xid, 'batch:' || sha256({framed("'events'", 'pos', 'digest')}) AS batch_id FROM d",
+)
 def logical_batch_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changelog.from_events(spark, sf_dir)
-    ends = rows.groupBy("xid").agg(F.max("pos").alias("end_pos"))
-    return sinks.batch_digests(rows, "xid", "seq", ["k", "op", "val", "props"]).join(ends, "xid").select("xid", F.concat(F.lit("batch:"), scalars.sha(F.lit("events"), F.col("end_pos"), F.col("digest"))).alias("batch_id"))
+    return sinks.logical_batch_ids(changelog.from_events(spark, sf_dir), "xid", "seq", "pos", ["k", "op", "val", "props"], "events")
 
 
-@query("checkpoint_id", f"WITH {CL} SELECT seq, 'checkpoint:' || sha256('lsn=' || lsn || '|xid=' || xid) AS checkpoint_id FROM cl")
+@query("checkpoint_id", f"WITH {CL} SELECT seq, 'checkpoint:' || sha256({framed("'lsn'", "lsn", "'xid'", "xid")}) AS checkpoint_id FROM cl")
 def checkpoint_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.from_events(spark, sf_dir).select("seq", F.concat(F.lit("checkpoint:"), scalars.sha(F.concat(F.lit("lsn="), "lsn"), F.concat(F.lit("xid="), F.col("xid").cast("string")))).alias("checkpoint_id"))
+    return changelog.from_events(spark, sf_dir).select("seq", position.checkpoint_id({"lsn": F.col("lsn"), "xid": F.col("xid")}).alias("checkpoint_id"))
 
 
-@query("idempotency_key", f"WITH {CL} SELECT seq, sha256('events|' || lsn || '|' || op || '|' || k) AS id_key, coalesce(nullif(lsn, ''), sha256(CAST(k AS VARCHAR))) AS txn_id FROM cl")
+@query("idempotency_key", f"WITH {CL} SELECT seq, sha256({framed("'events'", "lsn", "op", "k")}) AS id_key, coalesce(nullif(lsn, ''), sha256(CAST(k AS VARCHAR))) AS txn_id FROM cl")
 def idempotency_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.from_events(spark, sf_dir).select("seq", scalars.sha(F.lit("events"), F.col("lsn"), F.col("op"), F.col("k")).alias("id_key"), sinks.transaction_id(F.col("lsn"), F.col("k")).alias("txn_id"))
 
 
-@query("kafka_key_hash", f"WITH {CL} SELECT seq, sha256(CASE WHEN seq % 4 = 0 THEN 'events|' || lsn || '|' || op ELSE CAST(k AS VARCHAR) END) AS key_hash FROM cl")
+@query("kafka_key_hash", f"WITH {CL} SELECT seq, sha256(CASE WHEN seq % 4 = 0 THEN {framed("'events'", "lsn", "op")} ELSE CAST(k AS VARCHAR) END) AS key_hash FROM cl")
 def kafka_key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("seq") % 4 == 0, "").otherwise(F.col("k").cast("string"))
     return changelog.from_events(spark, sf_dir).select("seq", sinks.message_key(key, F.lit("events"), F.col("lsn"), F.col("op")).alias("key_hash"))
@@ -495,7 +501,7 @@ def artifact_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("artifact_rows", f"WITH {CL} SELECT pos AS _pos, seq % 8 AS _seq, xid AS _batch_id, CASE WHEN op = 'update' AND NOT has_val THEN '[\"val\"]' ELSE '[]' END AS _unchanged, k, val FROM cl")
 def artifact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).withColumn("lacks", F.array_compact(F.array(F.when((F.col("op") == "update") & ~F.col("has_val"), "val"))))
-    return rows.select(F.col("pos").alias("_pos"), (F.col("seq") % 8).alias("_seq"), F.col("xid").alias("_batch_id"), F.to_json("lacks").alias("_unchanged"), "k", "val")
+    return artifacts.projected_rows(rows.withColumn("ordinal", F.col("seq") % 8), ["k", "val"], F.col("lacks"))
 
 
 @query("sample_predicate", "SELECT o_orderkey FROM orders WHERE ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT % 1000000 < 50000")
@@ -503,10 +509,11 @@ def sample_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.sampled(table(spark, sf_dir, "orders"), ["o_orderkey"], 0.05).select("o_orderkey")
 
 
-_CERT = "SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders"
+_CERT = f"SELECT sha256({framed('o_orderkey', 'o_custkey', 'o_orderstatus')}) AS h FROM orders"
+_LANES = ", ".join(f"CAST(sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT) AS DECIMAL(38,0)) AS h{i}" for i in range(4))
 
 
-@query("table_certificate", f"SELECT count(*) AS n, CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS BIGINT) AS h0, CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS BIGINT) AS h1 FROM ({_CERT})")
+@query("table_certificate", f"SELECT count(*) AS n, {_LANES} FROM ({_CERT})")
 def table_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.certificate(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
@@ -518,9 +525,9 @@ def certify_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return certify.compare(o, altered, ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
-@query("row_hash_counts", "SELECT sha256(c_nationkey || '|' || c_mktsegment) AS row_hash, count(*) AS n FROM customer GROUP BY 1")
+@query("row_hash_counts", f"SELECT sha256({framed('c_nationkey', 'c_mktsegment')}) AS row_hash, count(*) AS n FROM customer GROUP BY 1")
 def row_hash_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy(certify.row_hash([F.col("c_nationkey"), F.col("c_mktsegment")]).alias("row_hash")).agg(F.count(F.lit(1)).alias("n"))
+    return certify.hash_counts(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
 @query("append_missing_hashes", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
@@ -638,8 +645,7 @@ def backlog_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quota_filter_sum", f"WITH {CL} SELECT k, CAST(coalesce(sum(val) FILTER (WHERE op <> 'delete'), 0) AS BIGINT) AS live_bytes, CAST(coalesce(sum(val), 0) AS BIGINT) AS all_bytes FROM cl GROUP BY k")
 def quota_filter_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return changelog.from_events(spark, sf_dir).groupBy("k").agg(total(F.when(F.col("op") != "delete", F.col("val"))).alias("live_bytes"), total(F.col("val")).alias("all_bytes"))
+    return lifecycle.quota(changelog.from_events(spark, sf_dir), "k", "val", F.col("op") != "delete")
 
 
 @query("identity_conflicts", f"WITH {CL} SELECT k AS id, count(DISTINCT event_type) AS n FROM cl GROUP BY k HAVING count(DISTINCT event_type) <> 1")
@@ -651,8 +657,7 @@ def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("active_executions", f"WITH {CL} SELECT event_type, count(*) AS n FROM (SELECT event_type, seq FROM cl WHERE seq % 4 = 0 UNION ALL SELECT event_type, seq FROM cl WHERE seq % 4 = 1) WHERE seq % 5 <> 0 GROUP BY event_type")
 def active_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).select("event_type", "seq")
-    both = rows.where("seq % 4 = 0").unionAll(rows.where("seq % 4 = 1"))
-    return both.join(rows.where("seq % 5 = 0").select("seq"), "seq", "left_anti").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.active([rows.where("seq % 4 = 0"), rows.where("seq % 4 = 1")], rows.where("seq % 5 = 0"), "seq", "event_type")
 
 
 @query("publication_sequence", f"WITH {CL}, p AS (SELECT event_type AS flow, xid, min(seq) AS published FROM cl GROUP BY ALL) SELECT flow, xid, row_number() OVER (PARTITION BY flow ORDER BY published, xid) AS sequence FROM p")
@@ -663,8 +668,7 @@ def publication_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("consumer_latest", f"WITH {CL} SELECT DISTINCT ON (event_type) event_type AS consumer, seq, xid FROM cl ORDER BY event_type, seq DESC")
 def consumer_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = changelog.from_events(spark, sf_dir)
-    return rows.groupBy(F.col("event_type").alias("consumer")).agg(F.max("seq").alias("seq"), F.max_by("xid", "seq").alias("xid"))
+    return lifecycle.latest_by(changelog.from_events(spark, sf_dir).withColumnRenamed("event_type", "consumer"), "consumer", "seq", "xid")
 
 
 @query("schema_next_version", f"WITH {CL} SELECT s.event_type AS subject, CAST(coalesce(max(cl.xid) FILTER (WHERE cl.event_type <> 'signup'), 0) + 1 AS BIGINT) AS next_version FROM (SELECT DISTINCT event_type FROM cl) s JOIN cl USING (event_type) GROUP BY 1")
@@ -676,23 +680,25 @@ def schema_next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("schema_latest", "SELECT o_orderpriority AS relation, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS schema FROM (SELECT o_orderpriority, o_orderkey, max(o_orderstatus) AS o_orderstatus FROM orders GROUP BY ALL) GROUP BY 1")
 def schema_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderkey").agg(F.max("o_orderstatus").alias("s"))
-    return versions.groupBy(F.col("o_orderpriority").alias("relation")).agg(F.max("o_orderkey").alias("version"), F.max_by("s", "o_orderkey").alias("schema"))
+    return lifecycle.latest_by(versions.toDF("relation", "version", "schema"), "relation", "version", "schema")
 
 
-@query("index_signature", "SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS segments, bool_or(big) AS any_big FROM (SELECT DISTINCT c_nationkey, c_mktsegment, bool_or(c_custkey % 97 = 0) OVER (PARTITION BY c_nationkey) AS big FROM customer) GROUP BY c_nationkey")
+@query("index_signature", "SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY c_mktsegment) AS columns, bool_or(big) AS is_unique FROM (SELECT DISTINCT c_nationkey, c_mktsegment, bool_or(c_custkey % 97 = 0) OVER (PARTITION BY c_nationkey) AS big FROM customer) GROUP BY c_nationkey")
 def index_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("segments"), F.bool_or(F.col("c_custkey") % 97 == 0).alias("any_big"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("column"), F.col("c_mktsegment").alias("ordinal"), (F.col("c_custkey") % 97 == 0).alias("is_unique"))
+    return tables.index_signatures(c, "c_nationkey")
 
 
-@query("index_columns", "SELECT r_regionkey, CAST(p - 1 AS INTEGER) AS ordinal, substr(r_name, CAST(p AS BIGINT), 1) AS part FROM region, unnest(range(1, length(r_name) + 1)) AS t(p)")
+@query("index_columns", "SELECT c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS INTEGER) AS ordinal, c_mktsegment AS \"column\" FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)")
 def index_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(F.split("r_name", "")).alias("ordinal", "part"))
+    indexes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("columns"))
+    return tables.index_columns(indexes, "c_nationkey", "columns")
 
 
 @query("type_chain", "WITH RECURSIVE c AS (SELECT CAST(n_nationkey AS BIGINT) AS start, CAST(n_nationkey AS BIGINT) AS node FROM nation UNION SELECT c.start, c.node // 2 FROM c WHERE c.node > 0) SELECT start, node FROM c")
 def type_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "nation").createOrReplaceTempView("changeweave_nation")
-    return spark.sql("WITH RECURSIVE c AS (SELECT CAST(n_nationkey AS BIGINT) AS start, CAST(n_nationkey AS BIGINT) AS node FROM changeweave_nation UNION ALL SELECT start, node div 2 FROM c WHERE node > 0) SELECT DISTINCT start, node FROM c")
+    n = F.col("n_nationkey").cast("long")
+    return tables.type_chain(table(spark, sf_dir, "nation").select(n.alias("start"), F.when(n > 0, F.floor(n / 2)).alias("base")), "start", "base")
 
 
 @query("latency_quantiles", "SELECT quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.95) AS p95, quantile_disc(v, 0.99) AS p99 FROM (SELECT CAST(round(value * 100) AS DOUBLE) AS v FROM events)")
@@ -702,7 +708,7 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bench_throughput", f"WITH {CL} SELECT op, count(*) AS records, CAST(sum(length(props)) AS BIGINT) AS bytes FROM cl GROUP BY op")
 def bench_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.from_events(spark, sf_dir).groupBy("op").agg(F.count(F.lit(1)).alias("records"), F.sum(F.length("props")).alias("bytes"))
+    return certify.throughput(changelog.from_events(spark, sf_dir), "op", F.length("props"))
 
 
 @query(

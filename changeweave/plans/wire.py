@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from changeweave.functions import scalars
-from changeweave.operators import artifacts, changelog, decode, fold, guard, lifecycle
-from changeweave.plans.catalog import CL, query, table
+from changeweave.operators import artifacts, changelog, decode, fold, guard, lifecycle, queue
+from changeweave.plans.catalog import CL, framed, query, table
 from changeweave.sources import messages, sinks, tables
 
 
@@ -53,6 +53,9 @@ a AS (SELECT *, row_number() OVER w - 1 AS ordinal, CASE WHEN row_number() OVER
 p AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY xid ORDER BY seq) AS BIGINT) AS artifact FROM a)"""
 
 
+_ARTIFACT = framed("'events'", "xid", "artifact")
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = changelog.from_events(spark, sf_dir).select("xid", "seq", F.col("event_type").alias("tbl"), F.lit(1).alias("version"), F.when(F.col("seq") % 50 == 3, "ddl").otherwise(F.col("op")).alias("op"))
     return artifacts.plan(rows)
@@ -63,7 +66,7 @@ def artifact_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(spark, sf_dir).select("xid", "seq", "ordinal", "artifact")
 
 
-@query("artifact_manifest", f"{_PLAN} SELECT xid, artifact, min(ordinal) AS first_ordinal, count(*) AS n_rows, sha256('events|' || xid || '|' || artifact) AS artifact_id, 'events/v1-' || rtrim(to_base64(encode(CAST(xid AS VARCHAR))), '=') || '/' || substr(sha256('events|' || xid || '|' || artifact), 1, 16) AS object_key FROM p GROUP BY xid, artifact")
+@query("artifact_manifest", f"{_PLAN} SELECT xid, artifact, min(ordinal) AS first_ordinal, count(*) AS n_rows, sha256({_ARTIFACT}) AS artifact_id, 'events/v1-' || rtrim(to_base64(encode(CAST(xid AS VARCHAR))), '=') || '/' || substr(sha256({_ARTIFACT}), 1, 16) AS object_key FROM p GROUP BY xid, artifact")
 def artifact_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.manifest(_planned(spark, sf_dir), "events")
 
@@ -75,10 +78,16 @@ def artifact_misplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.misplaced(moved, artifacts.manifest(p, "events"), ["xid", "artifact"]).select("xid", "seq")
 
 
-@query("insert_chunks", f"WITH {CL}, c AS (SELECT seq, k, (row_number() OVER w - 1) // 5 AS r, (sum(length(props)) OVER w - 1) // 40 AS b FROM cl WINDOW w AS (PARTITION BY k ORDER BY seq)) SELECT k, CAST(r AS BIGINT) AS by_rows, CAST(b AS BIGINT) AS by_bytes, count(*) AS n FROM c GROUP BY ALL")
+@query(
+    "insert_chunks",
+    f"""WITH RECURSIVE {CL}, o AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY seq) AS i, length(props) AS b FROM cl),
+w AS (SELECT k, i, CAST(0 AS BIGINT) AS chunk, CAST(1 AS BIGINT) AS n, b AS held FROM o WHERE i = 1
+  UNION ALL SELECT o.k, o.i, CASE WHEN n = 5 OR held + b > 40 THEN chunk + 1 ELSE chunk END, CASE WHEN n = 5 OR held + b > 40 THEN 1 ELSE n + 1 END, CASE WHEN n = 5 OR held + b > 40 THEN b ELSE held + b END FROM w JOIN o ON o.k = w.k AND o.i = w.i + 1)
+SELECT k, chunk, count(*) AS n FROM w GROUP BY ALL""",
+)
 def insert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = artifacts.chunks(changelog.from_events(spark, sf_dir), ["k"], "seq", F.length("props"), 5, 40)
-    return rows.groupBy("k", F.col("chunk.by_rows").alias("by_rows"), F.col("chunk.by_bytes").alias("by_bytes")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("k", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -99,7 +108,7 @@ def size_bisect(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("n_nationkey").cast("long")
     s = table(spark, sf_dir, "nation").select(i.alias("id"), F.when(i > 0, F.floor((i - 1) / 2).cast("long")).alias("parent"))
-    return artifacts.ancestry(spark, s, 20)
+    return artifacts.ancestry(s, 20)
 
 
 @query("summary_match", f"WITH {CL} SELECT DISTINCT xid AS batch_id, CASE WHEN xid % 3 = 0 THEN 'absent' WHEN xid % 30 = 1 THEN 'conflict' ELSE 'committed' END AS outcome FROM cl")
@@ -114,7 +123,7 @@ def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.log_messages(changelog.from_events(spark, sf_dir), "events", "k", ["k", "val"], 1_000_000)
 
 
-@query("http_requests", f"WITH {CL} SELECT sha256('events|' || lsn || '|' || op || '|' || k) AS idempotency_key, lsn AS transaction, '{{\"k\":' || k || ',\"val\":' || coalesce(CAST(val AS VARCHAR), 'null') || '}}' AS body FROM cl")
+@query("http_requests", f"WITH {CL} SELECT sha256({framed("'events'", "lsn", "op", "k")}) AS idempotency_key, lsn AS transaction, '{{\"k\":' || k || ',\"val\":' || coalesce(CAST(val AS VARCHAR), 'null') || '}}' AS body FROM cl")
 def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.requests(changelog.from_events(spark, sf_dir), "events", "k", ["k", "val"])
 
@@ -132,7 +141,7 @@ def object_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("queue_append", f"WITH {CL} SELECT seq AS id, 'changes' AS stream, lsn, '{{\"k\":' || k || ',\"op\":\"' || op || '\"}}' AS payload FROM cl")
 def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.from_events(spark, sf_dir).select(F.col("seq").alias("id"), F.lit("changes").alias("stream"), "lsn", F.to_json(F.struct("k", "op")).alias("payload"))
+    return changelog.from_events(spark, sf_dir).select(F.col("seq").alias("id"), "k", "op", "lsn").transform(queue.entries, "changes", ["k", "op"])
 
 
 @query("vector_rows", "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS FLOAT) AS first_value FROM embeddings")
@@ -173,7 +182,4 @@ def metadata_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema version inside a transaction: overrides count from their record on, those of aborted sub-transactions don't."""
     rows = changelog.from_events(spark, sf_dir).select("xid", "seq", (F.col("xid") * 10 + F.col("seq") % 3).alias("subxid"))
     overrides = rows.where("seq % 8 IN (2, 5)")
-    kept = changelog.committed(overrides, overrides.where("subxid % 7 = 0")).select("xid", "seq", F.lit(1).cast("long").alias("o"))
-    met = rows.select("xid", "seq").join(kept, ["xid", "seq"], "left")
-    w = Window.partitionBy("xid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return met.select("seq", F.coalesce(F.sum("o").over(w), F.lit(0)).alias("version"))
+    return changelog.schema_versions(rows, overrides, overrides.where("subxid % 7 = 0"), "xid", "seq").select("seq", "version")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from changeweave.functions.scalars import partition_value, sha, time_bucket
+from changeweave.functions.scalars import framed, partition_value, sha, time_bucket
 from changeweave.operators.changelog import key_json
 from changeweave.operators.fold import newest
 
@@ -74,14 +74,21 @@ def final_rows(df: DataFrame) -> DataFrame:
 
 def batch_digests(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
     """Per batch a digest of its rows in order; physical order and partitioning don't matter. A batch is bounded by its transaction."""
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    row = framed(*[F.col(c) for c in columns])
     rows = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
-    return rows.select(batch, F.sha2(F.array_join(F.transform("rows", lambda x: x["r"]), ";").cast("binary"), 256).alias("digest"))
+    return rows.select(batch, F.sha2(F.array_join(F.transform("rows", lambda x: framed(x["r"])), "").cast("binary"), 256).alias("digest"))
+
+
+def logical_batch_ids(df: DataFrame, batch: str, order: str, pos: str, columns: list[str], source: str) -> DataFrame:
+    """Per batch an id of its source, end position and content: equal on every replay."""
+    ends = df.groupBy(batch).agg(F.max(pos).alias("end_pos"))
+    ident = sha(F.lit(source), F.col("end_pos"), F.col("digest"))
+    return batch_digests(df, batch, order, columns).join(ends, batch).select(batch, F.concat(F.lit("batch:"), ident).alias("batch_id"))
 
 
 def message_key(key: Column, table: Column, lsn: Column, op: Column) -> Column:
     """Digest of the record's key; a record without one is keyed by table, position and operation."""
-    return F.sha2(F.coalesce(F.nullif(key, F.lit("")), F.concat_ws("|", table, lsn, op)).cast("binary"), 256)
+    return F.sha2(F.coalesce(F.nullif(key, F.lit("")), framed(table, lsn, op)).cast("binary"), 256)
 
 
 def transaction_id(lsn: Column, key: Column) -> Column:
@@ -198,10 +205,23 @@ class Snapshots:
     def publish(self, df: DataFrame) -> int:
         """Writes the next version and then its marker. A version without marker is overwritten by the next attempt."""
         n = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{n}")
+        self.stage(df, n)
         self._fs().mkdirs(self._p(f"_published/{n}"))
         return n
 
+    def stage(self, df: DataFrame, version: int) -> None:
+        """Writes a version without making it visible; a later attempt at it overwrites."""
+        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Deletes all published versions but the last ``keep``, their folders before their markers; returns which."""
+        fs, now = self._fs(), self.version()
+        old = [n for n in range(1, now - keep + 1) if fs.exists(self._p(f"v{n}"))]
+        for n in old:
+            fs.delete(self._p(f"v{n}"), True)
+            fs.delete(self._p(f"_published/{n}"), True)
+        return old
+
 
 def fan_out(df: DataFrame, targets: dict[str, Callable[[DataFrame], None]], attempts: int = 3) -> dict[str, Exception]:
     """Writes to all targets at once from one cached input; only those that failed are tried again. Returns what still failed."""

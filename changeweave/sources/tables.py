@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from changeweave.functions.scratch import forget, written
 from changeweave.operators.evolve import Change, Kind, diff
 
 
@@ -76,3 +78,30 @@ def match_fields(current: dict[int, StructField], desired: dict[int, StructField
         if current[i].dataType != f.dataType:
             out.append(Change(Kind.ALTER_TYPE, "", f.name, type=f.dataType.simpleString()))
     return out + [Change(Kind.DROP_COLUMN, "", current[i].name) for i in sorted(set(current) - set(desired))]
+
+
+def index_signatures(columns: DataFrame, index: str) -> DataFrame:
+    """Per index its columns in order, joined, and whether it is unique. columns: index, column, ordinal, is_unique."""
+    ordered = F.array_sort(F.collect_set(F.struct("ordinal", "column")))
+    return columns.groupBy(index).agg(F.array_join(F.transform(ordered, lambda c: c["column"]), ",").alias("columns"), F.bool_or("is_unique").alias("is_unique"))
+
+
+def index_columns(indexes: DataFrame, index: str, columns: str) -> DataFrame:
+    """One row per key column of every index, with its place from 0."""
+    return indexes.select(index, F.posexplode(columns).alias("ordinal", "column"))
+
+
+def type_chain(types: DataFrame, name: str, base: str) -> DataFrame:
+    """(name, node): every type and what it is based on, down to the end, each once; a cycle ends where it closes.
+
+    Jumps double from round to round on written tables, so a chain of n types takes log2(n) rounds.
+    """
+    met = written(types.select(F.col(name), F.col(name).alias("node")).union(types.where(F.col(base).isNotNull()).select(name, F.col(base))).distinct())
+    n = met.count()
+    while True:
+        further = written(met.union(met.alias("a").join(met.select(F.col(name).alias("node"), F.col("node").alias("further")), "node").select(name, "further")).distinct())
+        forget(met)
+        met, grown = further, further.count()
+        if grown == n:
+            return met
+        n = grown

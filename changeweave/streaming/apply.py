@@ -24,8 +24,9 @@ class UpsertTarget:
     """A current-state table kept by partial folds.
 
     Every version holds, per key, the partial fold of all batches so far, and the receipts of the batches it has. A
-    batch that comes again is skipped by its receipt; one that comes again with other content is a conflict. The
-    version and its receipts become visible by one marker, so a crash in between leaves neither.
+    batch that comes again is skipped by its receipt; one that comes again with other content is a conflict. Receipts
+    are staged under the number of the state's next version and count only once that version's marker is there: a crash
+    before it leaves neither, and the next attempt overwrites both.
     """
 
     spark: SparkSession
@@ -52,10 +53,17 @@ class UpsertTarget:
         if self.state.version():
             now = fold.merged(self.state.read().unionByName(now), self.keys, self.columns)
         receipt = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(str(digest)).alias("digest"))
-        self.receipts.publish(receipt if seen is None else seen.unionByName(receipt))
+        self.receipts.stage(receipt if seen is None else seen.unionByName(receipt), self.state.version() + 1)
         self.state.publish(now)  # the marker of the state's version makes both count
         return True
 
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Deletes versions that are no longer read, receipts (each version holds all of them) before states."""
+        fs = self.receipts._fs()
+        for n in range(1, self.state.version() - keep + 1):
+            fs.delete(self.receipts._p(f"v{n}"), True)
+        return self.state.vacuum(keep)
+
     def read(self) -> DataFrame:
         return fold.live(self.state.read(), self.keys, self.columns)
 
