@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from changeweave.functions.scratch import forget, shared_folder, written
 
-__all__ = ["BLANKS", "LETTERS", "TOKENS", "WORD_PATTERN", "crc_bucket", "crc_bucket_py", "forget", "quoted", "shared_folder", "split_alnum", "split_words", "table", "written"]
+__all__ = ["BLANKS", "TOKENS", "WORD_PATTERN", "crc_bucket", "crc_bucket_py", "forget", "letter_runs", "quoted", "shared_folder", "split_alnum", "split_words", "table", "written"]
 
 #: The blank characters of the contracts: space and \x09-\x0D.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -53,13 +53,19 @@ def split_alnum(text: bytes) -> list[bytes]:
 
 
 
-def _numerals() -> str:
-    """Word characters that are no letters and no decimal digits (fractions, superscripts, circled digits), for a character class.
+def _numerals(start: int, stop: int) -> str:
+    """Word characters that are no letters and no decimal digits (fractions, superscripts, circled digits), for a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(start, stop)) if unicodedata.category(c) in ("No", "Nl"))
 
-    Beyond the first two planes there are ideographs only."""
-    return "".join(re.escape(c) for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("No", "Nl"))
+
+#: Numerals of the first plane, and everything from the second, where the exact class would be slow; from the third on there are ideographs.
+_MAYBE_NUMERAL = re.compile(f"[{_numerals(0, 0x10000)}\U00010000-\U0001FFFF]")
+_WORD_LETTERS, _SURE_LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_numerals(0, 0x20000)}]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """Runs of Unicode letters. The exact class is asked only where a text may have numerals of the rare kinds."""
+    return (_SURE_LETTERS if _MAYBE_NUMERAL.search(text) else _WORD_LETTERS).findall(text)
 
 
-#: Runs of Unicode letters.
-LETTERS = re.compile(rf"[^\W\d_{_numerals()}]+")
 TOKENS = re.compile(r"[^\W_]+")

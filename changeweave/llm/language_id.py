@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changeweave.llm.common import LETTERS, crc_bucket, quoted, table
+from changeweave.llm.common import crc_bucket, letter_runs, quoted, table
 
 #: Labelled documents per language that a model is fitted on, at most.
 PER_LANGUAGE = 400
 DIMENSIONS = 1 << 15
 CHUNK = 1 << 20
 EPOCHS = 12
-#: Parts of a language's rows that are ranked apart before the language is.
-SLICES = 128
+#: Highest bits of the id hashes by which a language's rows are counted before the smallest are ranked.
+RANGE_BITS = 12
 #: Language -> family, by ISO 639-1 code; a language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "is", "nb", "nl", "nn", "no", "sv"),
@@ -63,12 +63,12 @@ def pieces(text: str, chunk: int) -> Iterator[str]:
     inside, any_run = False, False  # whether the last piece ended within a run
     for i in range(0, len(text), chunk):
         part = text[i : i + chunk]
-        runs = LETTERS.findall(part)
+        runs = letter_runs(part)
         if runs:
             joined = " ".join(runs).lower()
-            yield joined if inside and LETTERS.match(part) else " " + joined
+            yield joined if inside and part.startswith(runs[0]) else " " + joined
             any_run = True
-            inside = LETTERS.match(part[-1]) is not None
+            inside = part.endswith(runs[-1])
         else:
             inside = False
     if any_run:
@@ -167,11 +167,12 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """The model of a bounded sample of the labelled rows."""
     labelled = docs.select(quoted(id_col).alias("doc_id"), quoted(lang_col).alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    # the smallest id hashes of each slice of a language, then of the language: no task ranks all rows of one
-    slices = Window.partitionBy("lang", "slice").orderBy("h", "doc_id")
+    # rows are counted by the highest bits of their hashes; only the ranges that hold the smallest ones are ranked
+    hashed = labelled.distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.shiftright("h", 64 - RANGE_BITS))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 2 ** RANGE_BITS rows at most
+    parts = hashed.groupBy("lang", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("before") < per_language)
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    hashed = labelled.distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(SLICES)))
-    few = hashed.withColumn("nth", F.row_number().over(slices)).where(F.col("nth") <= per_language)
+    few = hashed.join(parts.select("lang", "part"), ["lang", "part"], "left_semi")
     chosen = few.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).select("doc_id").distinct()
     ids = [r[0] for r in chosen.collect()]  # per_language ids for each language
     if not ids:
