@@ -40,18 +40,30 @@ def live(folded: DataFrame, keys: list[str], columns: dict[str, str | None]) ->
     return folded.where(after("__last")).select(*keys, *[F.when(after(f"__o_{c}"), F.col(f"__v_{c}")).alias(c) for c in columns], F.col("__last").alias("last_order"))
 
 
-def hydrated(df: DataFrame, keys: list[str], columns: dict[str, str], order: str = "seq", op: str = "op") -> DataFrame:
+def hydrated(df: DataFrame, keys: list[str], columns: dict[str, str], order: str = "seq", op: str = "op", span: int | None = None) -> DataFrame:
     """Every row with the columns it lacks filled from the latest row of its key that has them, back to the last delete.
 
-    A running window: rows of one key meet in one task. Use the fold where only the end matters.
+    A running window: rows of one key meet in one task. With ``span``, windows hold that many numbers of the order, and what
+    stands at their ends (a partial fold of each range, merged along the key) is carried on, so that a hot key is split. Use
+    the fold where only the end matters.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumn("__epoch", F.coalesce(F.sum(F.when(F.col(op) == "delete", 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    e = Window.partitionBy(*keys, "__epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within, rows = keys, df
+    if span:
+        within, rows = [*keys, "__range"], df.withColumn("__range", F.floor(F.col(order) / span))
+        ends = rows.groupBy(*within).agg(*fold_columns(columns, order, op))
+        past = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*within, F.max("__gone").over(past).alias("__gone"), *[c for n in columns for c in (F.max_by(f"__v_{n}", f"__o_{n}").over(past).alias(f"__v_{n}"), F.max(f"__o_{n}").over(past).alias(f"__o_{n}"))])
+        rows = rows.join(carried, within)
+    w = Window.partitionBy(*within).orderBy(order)
+    rows = rows.withColumn("__epoch", F.coalesce(F.sum(F.when(F.col(op) == "delete", 1)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    e = Window.partitionBy(*within, "__epoch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     for c, present in columns.items():
-        got = F.last(F.when(F.col(present), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(e)
-        rows = rows.withColumn(c, F.when(F.col(op) != "delete", got["v"]))
-    return rows.drop("__epoch")
+        value = F.last(F.when(F.col(present), F.struct(F.col(c).alias("v"))), ignorenulls=True).over(e)
+        if span:
+            before = (F.col("__epoch") == 0) & F.col(f"__o_{c}").isNotNull() & (F.col("__gone").isNull() | (F.col(f"__o_{c}") > F.col("__gone")))
+            value = F.coalesce(value, F.when(before, F.struct(F.col(f"__v_{c}").alias("v"))))
+        rows = rows.withColumn(c, F.when(F.col(op) != "delete", value["v"]))
+    return rows.select(*df.columns)
 
 
 def looked_up(df: DataFrame, snapshot: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:

@@ -6,20 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def decisions(df: DataFrame, keys: list[str], guard: str, pos: str, arrival: str, digest: str) -> DataFrame:
-    """Adds ``decision``: accept, stale, replay (equal guard, position and content) or conflict (equal, other content)."""
+def decisions(df: DataFrame, keys: list[str], guard: str, pos: str, arrival: str, digest: str, span: int | None = None) -> DataFrame:
+    """Adds ``decision``: accept, stale, replay (equal guard, position and content) or conflict (equal, other content).
+
+    Rows of one key meet in one task. With ``span``, windows hold that many numbers of the arrival, and the highest version of
+    each range is carried on, so that a hot key is split.
+    """
     version = F.struct(F.col(guard).alias("g"), F.col(pos).alias("p"))
-    before = Window.partitionBy(*keys).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("__v", version).withColumn("__top", F.max("__v").over(before))
-    stored = F.max(F.struct(F.col("__v"), (-F.col(arrival)).alias("first"), F.col(digest).alias("d"))).over(before)
-    rows = rows.withColumn("__d", stored["d"])
+    rows = df.withColumn("__v", version).withColumn("__own", F.struct(F.col("__v").alias("v"), (-F.col(arrival)).alias("first"), F.col(digest).alias("d")))
+    within = keys
+    if span:
+        within, rows = [*keys, "__range"], rows.withColumn("__range", F.floor(F.col(arrival) / span))
+        past = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        carried = rows.groupBy(*within).agg(F.max("__own").alias("__end")).select(*within, F.max("__end").over(past).alias("__carried"))
+        rows = rows.join(carried, within)
+    before = Window.partitionBy(*within).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.max("__own").over(before)
+    rows = rows.withColumn("__top", F.greatest(top, F.col("__carried")) if span else top)
     decision = (
-        F.when(F.col("__top").isNull() | (F.col("__v") > F.col("__top")), "accept")
-        .when(F.col("__v") < F.col("__top"), "stale")
-        .when(F.col("__d") == F.col(digest), "replay")
+        F.when(F.col("__top").isNull() | (F.col("__v") > F.col("__top.v")), "accept")
+        .when(F.col("__v") < F.col("__top.v"), "stale")
+        .when(F.col("__top.d") == F.col(digest), "replay")
         .otherwise("conflict")
     )
-    return rows.withColumn("decision", decision).drop("__v", "__top", "__d")
+    return rows.withColumn("decision", decision).select(*df.columns, "decision")
 
 
 def conflicts(decided: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeweave.functions import scalars
-from changeweave.operators import artifacts, certify, fold, lifecycle, warehouse
+from changeweave.operators import artifacts, certify, changelog, fold, guard, lifecycle, warehouse
 from changeweave.sources import sinks, tables, wire
 from changeweave.streaming.apply import UpsertTarget
 
+from .conftest import SF
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -120,3 +122,13 @@ def test_objects_and_misfits(spark):
         warehouse.mapped_plan(spark.range(1), "AB" * 32)
     same = [one(spark, warehouse.same_key(F.lit(a).cast("string"), F.lit(b).cast("string"))) for a, b in (("1", "1.0"), ("a", "a"), ("a", "b"), (None, None), ("1", None))]
     assert same == [True, True, False, True, False]
+
+
+@pytest.mark.parametrize("span", [1, 90, 10_000])
+def test_split_windows_equal_whole_ones(spark, span):
+    log = changelog.from_events(spark, SF)
+    key = lambda df: sorted(map(str, df.collect()))
+    columns = {"val": "has_val", "props": "has_props"}
+    assert key(fold.hydrated(log, ["k"], columns, span=span)) == key(fold.hydrated(log, ["k"], columns))
+    rows = log.withColumn("arrival", F.col("seq")).unionByName(log.where("seq % 10 = 0").withColumn("arrival", F.col("seq") + 5_000)).withColumn("digest", F.col("op")).select("k", "wm", "pos", "arrival", "digest")
+    assert key(guard.decisions(rows, ["k"], "wm", "pos", "arrival", "digest", span)) == key(guard.decisions(rows, ["k"], "wm", "pos", "arrival", "digest"))
