@@ -112,7 +112,7 @@ def verified(rows: DataFrame, manifests: DataFrame, artifact: str, order: str, c
     """Per artifact whether its rows are those that the manifest (artifact, n_rows, digest) promises: ok, rows, content or missing."""
     row = framed(*[F.col(c) for c in columns])
     seen = rows.groupBy(artifact).agg(F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("__rows"))
-    digest = F.sha2(F.array_join(F.transform("__rows", lambda x: framed(x["r"])), "").cast("binary"), 256)
+    digest = F.sha2(F.array_join(F.col("__rows.r"), "").cast("binary"), 256)
     met = manifests.join(seen, artifact, "left")
     state = F.when(F.col("__n").isNull(), "missing").when(F.col("__n") != F.col("n_rows"), "rows").when(digest != F.col("digest"), "content").otherwise("ok")
     return met.select(artifact, state.alias("state"))

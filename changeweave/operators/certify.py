@@ -10,6 +10,7 @@ from changeweave.functions.scalars import sha
 
 #: 32-bit parts of a row hash that a certificate sums.
 LANES = 4
+SLICES = 4096
 
 
 def sampled(df: DataFrame, keys: list[str], rate: float) -> DataFrame:
@@ -23,11 +24,13 @@ def row_hash(cols: list[Column]) -> Column:
 
 
 def certificate(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Row count and sums of the row hashes' first four 32-bit parts: order doesn't matter, repeated rows count, sums combine
-    map-side and have 38 digits."""
+    """Row count and sums of the row hashes' first four 32-bit parts: order doesn't matter, repeated rows count, and sums combine
+    map-side. They are taken as 64-bit numbers in ``SLICES`` slices first (good for 2 ** 43 rows), then as decimals of 38 digits."""
     part = lambda i: F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("long")
     rows = df.select(row_hash([F.col(c) for c in cols]).alias("h"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(part(i).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"h{i}") for i in range(LANES)])
+    slices = rows.groupBy(F.pmod(F.xxhash64("h"), F.lit(SLICES)).alias("slice")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(part(i)).alias(f"h{i}") for i in range(LANES)])
+    total = lambda i: F.coalesce(F.sum(F.col(f"h{i}").cast("decimal(28,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"h{i}")
+    return slices.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), *[total(i) for i in range(LANES)])
 
 
 def compare(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:

@@ -362,14 +362,14 @@ def lsn_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lag(changelog.from_events(spark, sf_dir), "k", "pos", F.col("seq") % 4 == 3)
 
 
-@query("content_hash", f"WITH {CL}, r AS (SELECT xid, seq, {framed('k', 'op', 'val', 'props')} AS r FROM cl) SELECT xid, sha256(string_agg({framed('r')}, '' ORDER BY seq)) AS digest FROM r GROUP BY xid")
+@query("content_hash", f"WITH {CL}, r AS (SELECT xid, seq, {framed('k', 'op', 'val', 'props')} AS r FROM cl) SELECT xid, sha256(string_agg(r, '' ORDER BY seq)) AS digest FROM r GROUP BY xid")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.batch_digests(changelog.from_events(spark, sf_dir), "xid", "seq", ["k", "op", "val", "props"])
 
 
 @query(
     "logical_batch_id",
-    f"WITH {CL}, r AS (SELECT xid, seq, pos, {framed('k', 'op', 'val', 'props')} AS r FROM cl), d AS (SELECT xid, max(pos) AS pos, sha256(string_agg({framed('r')}, '' ORDER BY seq)) AS digest FROM r GROUP BY xid) "
+    f"WITH {CL}, r AS (SELECT xid, seq, pos, {framed('k', 'op', 'val', 'props')} AS r FROM cl), d AS (SELECT xid, max(pos) AS pos, sha256(string_agg(r, '' ORDER BY seq)) AS digest FROM r GROUP BY xid) "
     f"SELECT xid, 'batch:' || sha256({framed("'events'", 'pos', 'digest')}) AS batch_id FROM d",
 )
 def logical_batch_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from changeweave.plans.catalog import CL, COLUMNS, _fold_sql, framed, query, tab
 from changeweave.plans.wire import _PLAN, _planned
 from changeweave.sources import sinks, wire
 
-_DIGEST = f"r AS (SELECT xid, seq, {framed('k', 'op', 'val', 'props')} AS r FROM cl), d AS (SELECT xid, sha256(string_agg({framed('r')}, '' ORDER BY seq)) AS digest FROM r GROUP BY xid)"
+_DIGEST = f"r AS (SELECT xid, seq, {framed('k', 'op', 'val', 'props')} AS r FROM cl), d AS (SELECT xid, sha256(string_agg(r, '' ORDER BY seq)) AS digest FROM r GROUP BY xid)"
 _SCHEMA = '{"k":"bigint","val":"bigint","props":"string"}'
 _JSON = "'{\"k\":' || k || ',\"val\":' || coalesce(CAST(val AS VARCHAR), 'null') || ',\"props\":' || CASE WHEN props IS NULL THEN 'null' ELSE '\"' || replace(replace(props, '\\', '\\\\'), '\"', '\\\"') || '\"' END || '}'"
 

@@ -73,10 +73,13 @@ def final_rows(df: DataFrame) -> DataFrame:
 
 
 def batch_digests(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFrame:
-    """Per batch a digest of its rows in order; physical order and partitioning don't matter. A batch is bounded by its transaction."""
+    """Per batch a digest of its rows in order; physical order and partitioning don't matter. A batch is bounded by its transaction.
+
+    Every row has as many framed parts as there are columns, so that the rows need no frame of their own.
+    """
     row = framed(*[F.col(c) for c in columns])
     rows = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
-    return rows.select(batch, F.sha2(F.array_join(F.transform("rows", lambda x: framed(x["r"])), "").cast("binary"), 256).alias("digest"))
+    return rows.select(batch, F.sha2(F.array_join(F.col("rows.r"), "").cast("binary"), 256).alias("digest"))
 
 
 def logical_batch_ids(df: DataFrame, batch: str, order: str, pos: str, columns: list[str], source: str) -> DataFrame:
