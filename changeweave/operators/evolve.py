@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from changeweave.functions.scalars import quote_identifier
-from changeweave.operators.mapping import TableMapping, mapped_type, parse_type_rules, spark_type
+from changeweave.operators.mapping import TARGETS, TableMapping, mapped_type, parse_type_rules, spark_type, target_type
 
 
 class Kind(Enum):
@@ -28,6 +28,10 @@ class Kind(Enum):
     ALTER_NULLABLE = "alter_nullable"
     ALTER_GENERATED = "alter_generated"
     SET_KEY = "set_key"
+    CREATE_INDEX = "create_index"
+    DROP_INDEX = "drop_index"
+    ALTER_FOREIGN_KEY = "alter_foreign_key"
+    ALTER_CONSTRAINTS = "alter_constraints"
 
 
 @dataclass(frozen=True)
@@ -39,6 +43,7 @@ class Change:
     type: str | None = None
     nullable: bool | None = None
     columns: tuple[tuple[str, str], ...] = ()
+    key: tuple[str, ...] = ()
 
 
 class UnsupportedChange(ValueError):
@@ -111,11 +116,11 @@ QUOTES = {"spark": "`", "clickhouse": "`", "postgres": '"', "snowflake": '"', "d
 _NO_NULLABLE = ("clickhouse",)
 
 
-def render(c: Change, dialect: str = "spark", types: dict[str, str] | None = None) -> str:
-    """One statement of the dialect. What it can't say raises."""
+def render(c: Change, dialect: str = "spark", types: dict[str, str] | None = None, translate: bool = False) -> str:
+    """One statement of the dialect. What it can't say raises. ``translate`` gives warehouse targets their own types."""
     q = QUOTES[dialect]
     name = lambda n: ".".join(quote_identifier(p, q) for p in n.split("."))
-    kind = lambda t: mapped_type(t, parse_type_rules(types)) if types else spark_type(t) if dialect == "spark" else t
+    kind = lambda t, null=False: target_type(t, dialect, null, types) if translate and dialect in TARGETS else mapped_type(t, parse_type_rules(types)) if types else spark_type(t) if dialect == "spark" else t
     t, col = name(c.table), quote_identifier(c.column, q) if c.column else ""
     if c.kind is Kind.CREATE_SCHEMA:
         return f"CREATE SCHEMA IF NOT EXISTS {t}"
@@ -130,7 +135,7 @@ def render(c: Change, dialect: str = "spark", types: dict[str, str] | None = Non
     if c.kind is Kind.TRUNCATE:
         return f"TRUNCATE TABLE {t}"
     if c.kind is Kind.ADD_COLUMN:
-        return f"ALTER TABLE {t} ADD COLUMN {col} {kind(c.type)}"
+        return f"ALTER TABLE {t} ADD COLUMN {col} {kind(c.type, bool(c.nullable))}"
     if c.kind is Kind.DROP_COLUMN:
         return f"ALTER TABLE {t} DROP COLUMN {col}"
     if c.kind is Kind.RENAME_COLUMN:
@@ -140,6 +145,13 @@ def render(c: Change, dialect: str = "spark", types: dict[str, str] | None = Non
         return f"ALTER TABLE {t} " + verb.format(col, kind(c.type))
     if c.kind is Kind.ALTER_NULLABLE and dialect not in _NO_NULLABLE:
         return f"ALTER TABLE {t} ALTER COLUMN {col} {'DROP' if c.nullable else 'SET'} NOT NULL"
+    listed = ", ".join(quote_identifier(n, q) for n, _ in c.columns)
+    if c.kind is Kind.CREATE_INDEX and dialect in ("postgres", "duckdb"):
+        return f"CREATE {'UNIQUE ' if c.type == 'unique' else ''}INDEX {quote_identifier(c.to, q)} ON {t} ({listed})"
+    if c.kind is Kind.DROP_INDEX and dialect in ("postgres", "duckdb"):
+        return f"DROP INDEX {name(c.to)}"
+    if c.kind is Kind.SET_KEY and dialect in ("postgres", "duckdb", "snowflake"):
+        return f"ALTER TABLE {t} ADD PRIMARY KEY ({', '.join(quote_identifier(n, q) for n in c.key)})"
     raise UnsupportedChange(f"{dialect} has no {c.kind.value}")
 
 
@@ -171,22 +183,34 @@ def _split(text: str) -> list[str]:
 
 def parse(sql: str) -> list[Change]:
     """CREATE, ALTER, RENAME, DROP and TRUNCATE statements as changes; anything else raises."""
-    s = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip().rstrip(";").strip()
+    # quoted text stays as it is, comments outside of it go
+    s = re.sub(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)|--[^\n]*|/\*.*?\*/""", lambda m: m[1] or " ", sql, flags=re.S).strip().rstrip(";").strip()
     take = lambda pattern: re.match(pattern + r"\s*$", s, re.I | re.S)
     if m := take(rf"CREATE\s+SCHEMA\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}"):
         return [Change(Kind.CREATE_SCHEMA, _plain(m[1]))]
     if m := take(rf"DROP\s+SCHEMA\s+(?:IF\s+EXISTS\s+)?{_NAME}(?:\s+CASCADE|\s+RESTRICT)?"):
         return [Change(Kind.DROP_SCHEMA, _plain(m[1]))]
     if m := take(rf"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*\((.*)\)"):
-        columns = []
+        columns, keys = [], []
         for part in _split(m[2]):
+            if k := re.match(r"(?:CONSTRAINT\s+\S+\s+)?PRIMARY\s+KEY\s*\((.*)\)\s*$", part, re.I | re.S):
+                keys += [_plain(n) for n in _split(k[1])]
+                continue
             if re.match(r"(?:PRIMARY|UNIQUE|FOREIGN|CONSTRAINT|CHECK|EXCLUDE)\b", part, re.I):
                 continue
             c = re.match(rf"({_IDENT})\s+(.+)$", part, re.S)
             if not c:
                 raise UnsupportedChange(part)
             columns.append((_plain(c[1]), _type_of(c[2])))
-        return [Change(Kind.CREATE_TABLE, _plain(m[1]), columns=tuple(columns))]
+            if re.search(r"\bPRIMARY\s+KEY\b", c[2], re.I):
+                keys.append(_plain(c[1]))
+        return [Change(Kind.CREATE_TABLE, _plain(m[1]), columns=tuple(columns), key=tuple(dict.fromkeys(keys)))]
+    if m := take(rf"RENAME\s+TABLE\s+{_NAME}\s+TO\s+{_NAME}"):
+        return [Change(Kind.RENAME_TABLE, _plain(m[1]), to=_plain(m[2]))]
+    if m := take(rf"CREATE\s+(UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?({_IDENT})\s+ON\s+(?:ONLY\s+)?{_NAME}\s*(?:USING\s+\w+\s*)?\((.*)\)"):
+        return [Change(Kind.CREATE_INDEX, _plain(m[3]), to=_plain(m[2]), type="unique" if m[1] else None, columns=tuple((_plain(c), "") for c in _split(m[4])))]
+    if m := take(rf"DROP\s+INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+EXISTS\s+)?{_NAME}(?:\s+CASCADE|\s+RESTRICT)?"):
+        return [Change(Kind.DROP_INDEX, "", to=_plain(m[1]))]
     if m := take(rf"DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?{_NAME}(?:\s+CASCADE|\s+RESTRICT)?"):
         return [Change(Kind.DROP_TABLE, _plain(m[1]))]
     if m := take(rf"TRUNCATE\s+(?:TABLE\s+)?{_NAME}"):
@@ -207,6 +231,12 @@ def _alteration(table: str, part: str) -> Change:
         return Change(Kind.RENAME_TABLE, table, to=_plain(m[1]))
     if m := take(rf"RENAME\s+(?:COLUMN\s+)?({_IDENT})\s+TO\s+({_IDENT})"):
         return Change(Kind.RENAME_COLUMN, table, _plain(m[1]), to=_plain(m[2]))
+    if m := take(r"ADD\s+(?:CONSTRAINT\s+\S+\s+)?PRIMARY\s+KEY\s*\((.*)\)"):
+        return Change(Kind.SET_KEY, table, key=tuple(_plain(n) for n in _split(m[1])))
+    if m := take(rf"ADD\s+(?:CONSTRAINT\s+({_IDENT})\s+)?FOREIGN\s+KEY\s*\((.*?)\)\s*REFERENCES\s+{_NAME}.*"):
+        return Change(Kind.ALTER_FOREIGN_KEY, table, to=_plain(m[3]), columns=tuple((_plain(n), "") for n in _split(m[2])))
+    if m := take(rf"(?:ADD\s+CONSTRAINT\s+({_IDENT})\s+.*|ADD\s+(?:CHECK|UNIQUE)\b.*|DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?({_IDENT})(?:\s+CASCADE|\s+RESTRICT)?)"):
+        return Change(Kind.ALTER_CONSTRAINTS, table, to=_plain(m[1] or m[2]) if m[1] or m[2] else None)
     if m := take(rf"DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?({_IDENT})(?:\s+CASCADE|\s+RESTRICT)?"):
         return Change(Kind.DROP_COLUMN, table, _plain(m[1]))
     if m := take(rf"ALTER\s+(?:COLUMN\s+)?({_IDENT})\s+(?:SET\s+DATA\s+)?TYPE\s+(.+)"):
@@ -224,7 +254,7 @@ def project_changes(changes: list[Change], t: TableMapping) -> list[Change]:
     for c in changes:
         if c.column and t.target_of(c.column) is None:
             continue
-        out.append(Change(c.kind, f"{t.target_schema or t.schema}.{t.target_table or t.table}", t.target_of(c.column) if c.column else None, t.target_of(c.to) if c.kind is Kind.RENAME_COLUMN else c.to, c.type, c.nullable, tuple((t.target_of(n), k) for n, k in c.columns if t.target_of(n) is not None)))
+        out.append(Change(c.kind, f"{t.target_schema or t.schema}.{t.target_table or t.table}", t.target_of(c.column) if c.column else None, t.target_of(c.to) if c.kind is Kind.RENAME_COLUMN else c.to, c.type, c.nullable, tuple((t.target_of(n), k) for n, k in c.columns if t.target_of(n) is not None), tuple(t.target_of(n) for n in c.key if t.target_of(n) is not None)))
     return out
 
 

@@ -49,6 +49,12 @@ def prunable(manifests: DataFrame, acks: DataFrame, pending: DataFrame, limit: i
     return manifests.join(acks.select("manifest_id").distinct(), "manifest_id", "left_semi").join(pending.select("manifest_id"), "manifest_id", "left_anti").orderBy("manifest_id").limit(limit)
 
 
+def prune(manifests: DataFrame, acks: DataFrame, pending: DataFrame, deliveries: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left of manifests, their acknowledgements and their deliveries once ``prunable`` manifests go: all three lose them."""
+    gone = prunable(manifests, acks, pending, limit).select("manifest_id")
+    return tuple(t.join(gone, "manifest_id", "left_anti") for t in (manifests, acks, deliveries))
+
+
 def backlog(entries: DataFrame, now: Column, created: str, size: str) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), (now - F.min(created)).alias("age"))
 

@@ -261,6 +261,64 @@ def spark_type(source: str) -> str:
     return to if to != source or source in SPARK_TYPES.values() else "binary" if "." in source else "string"
 
 
+#: Spellings of one source type.
+ALIASES = {
+    "boolean": "bool", "smallint": "int2", "int": "int4", "integer": "int4", "serial": "int4", "bigint": "int8", "bigserial": "int8", "real": "float4", "double precision": "float8",
+    "decimal": "numeric", "money": "numeric", "character varying": "varchar", "character": "varchar", "bpchar": "varchar", "char": "varchar", "jsonb": "json", "timetz": "time",
+    "timestamp without time zone": "timestamp", "timestamp with time zone": "timestamptz",
+}
+# The types of the targets for each source type: ClickHouse, DuckDB, Snowflake.
+TARGET_TYPES = {
+    "bool": ("UInt8", "BOOLEAN", "BOOLEAN"),
+    "int2": ("Int16", "SMALLINT", "SMALLINT"),
+    "int4": ("Int32", "INTEGER", "INTEGER"),
+    "int8": ("Int64", "BIGINT", "BIGINT"),
+    "float4": ("Float32", "REAL", "FLOAT"),
+    "float8": ("Float64", "DOUBLE", "DOUBLE"),
+    "numeric": ("Decimal", "DECIMAL", "NUMBER"),
+    "uuid": ("String", "UUID", "STRING"),
+    "text": ("String", "TEXT", "STRING"),
+    "varchar": ("String", "VARCHAR", "STRING"),
+    "json": ("String", "JSON", "VARIANT"),
+    "bytea": ("String", "BLOB", "BINARY"),
+    "date": ("Date", "DATE", "DATE"),
+    "time": ("String", "TIME", "TIME"),
+    "timestamp": ("DateTime64(6)", "TIMESTAMP", "TIMESTAMP_NTZ"),
+    "timestamptz": ("DateTime64(6)", "TIMESTAMPTZ", "TIMESTAMP_TZ"),
+    "inet": ("String", "VARCHAR", "STRING"),
+    "cidr": ("String", "VARCHAR", "STRING"),
+    "citext": ("String", "VARCHAR", "STRING"),
+    "ltree": ("String", "VARCHAR", "STRING"),
+    "hstore": ("String", "JSON", "OBJECT"),
+    "vector": ("Array(Float32)", "FLOAT[]", "ARRAY"),
+    "geometry": ("String", "VARCHAR", "STRING"),
+    "geography": ("String", "VARCHAR", "STRING"),
+}
+TARGETS = ("clickhouse", "duckdb", "snowflake")
+
+
+def target_type(source: str, target: str, nullable: bool = False, rules: dict[str, str] | None = None) -> str:
+    """The target's type for a source type: by the user's rules first, then by the table; numbers keep their precision.
+
+    Schemas and extension prefixes don't matter to the table. A type that it lacks is text. ClickHouse marks what may be null.
+    """
+    asked = parse_type_rules(rules) if rules else {}
+    made = mapped_type(source, asked)
+    if made == source:
+        bare = re.sub(r"\s*\([^)]*\)", "", " ".join(source.lower().split())).strip().rpartition(".")[2].removeprefix("ext:")
+        column = TARGETS.index(target)
+        kind = ALIASES.get(bare, bare)
+        made = TARGET_TYPES.get(kind, TARGET_TYPES["text"])[column]
+        if kind == "numeric" and (m := re.search(r"\(\s*\d+\s*(?:,\s*\d+\s*)?\)", source)):
+            made += re.sub(r"\s", "", m.group())
+    return f"Nullable({made})" if nullable and target == "clickhouse" and not made.startswith(("Nullable(", "Array(")) else made
+
+
+def unkeyed(df: DataFrame, key: Column) -> DataFrame:
+    """Rows that an upsert must refuse, since neither image nor record gives their key."""
+    return df.where(key.isNull())
+
+
 def cast_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Columns cast by try_cast to their Spark types; what doesn't cast is null."""
     return df.select(*[F.col(c).try_cast(spark_type(types[c])).alias(c) if c in types else F.col(c) for c in df.columns])

@@ -103,15 +103,46 @@ def deliver(df: DataFrame, batch_id: int, primary: Callable[[DataFrame], None],
     return list(failed)
 
 
-def with_retry(f: Callable[[], object], attempts: int = 3, wait: float = 0.05) -> object:
-    for n in range(attempts):
+GIVE_UP = ("never", "on_retry_exhaustion")
+ON_FAILURE = ("hold", "drop")
+
+
+def with_retry(f: Callable[[], object], attempts: int = 3, wait: float = 0.05, give_up: str = "on_retry_exhaustion", stop: Callable[[], bool] = lambda: False) -> object:
+    """The result of ``f``, tried again after a wait. ``never`` gives up only once ``stop`` says so, and raises then."""
+    if give_up not in GIVE_UP:
+        raise ValueError(give_up)
+    n = 0
+    while True:
         try:
             return f()
         except Exception:
-            if n == attempts - 1:
+            n += 1
+            if stop() or (give_up == "on_retry_exhaustion" and n >= attempts):
                 raise
             time.sleep(wait)
-    return None
+
+
+def after_failure(mode: str, release: Callable[[], object]) -> None:
+    """hold keeps the source's position for the next run; drop releases it, and the next run starts with a snapshot."""
+    if mode not in ON_FAILURE:
+        raise ValueError(mode)
+    if mode == "drop":
+        release()
+
+
+def ends_empty(batches: Iterator[tuple[int, str | None]], most_empty: int) -> int:
+    """How many batches (rows, position) a run takes until ``most_empty`` heartbeats in all: batches without rows and position.
+
+    An empty batch with a position is progress. 0 sets no limit.
+    """
+    taken = empty = 0
+    for rows, at in batches:
+        taken += 1
+        if not rows and at is None:
+            empty += 1
+            if most_empty and empty >= most_empty:
+                break
+    return taken
 
 
 class Gate:

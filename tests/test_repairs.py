@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from changeweave.functions import scalars
-from changeweave.operators import artifacts, certify, changelog, fold, guard, lifecycle, warehouse
+from changeweave.operators import artifacts, certify, changelog, evolve, fold, guard, lifecycle, mapping, warehouse
 from changeweave.sources import sinks, tables, wire
+from changeweave.streaming import apply
 from changeweave.streaming.apply import UpsertTarget
 
 from .conftest import SF
@@ -132,3 +133,53 @@ def test_split_windows_equal_whole_ones(spark, span):
     assert key(fold.hydrated(log, ["k"], columns, span=span)) == key(fold.hydrated(log, ["k"], columns))
     rows = log.withColumn("arrival", F.col("seq")).unionByName(log.where("seq % 10 = 0").withColumn("arrival", F.col("seq") + 5_000)).withColumn("digest", F.col("op")).select("k", "wm", "pos", "arrival", "digest")
     assert key(guard.decisions(rows, ["k"], "wm", "pos", "arrival", "digest", span)) == key(guard.decisions(rows, ["k"], "wm", "pos", "arrival", "digest"))
+
+
+def test_types_of_targets():
+    assert [mapping.target_type("NUMERIC(10, 2)", t) for t in mapping.TARGETS] == ["Decimal(10,2)", "DECIMAL(10,2)", "NUMBER(10,2)"]
+    assert mapping.target_type("timestamp with time zone", "snowflake") == "TIMESTAMP_TZ" and mapping.target_type("ext:postgis.geometry", "duckdb") == "VARCHAR" and mapping.target_type("unheard_of", "duckdb") == "TEXT"
+    assert mapping.target_type("bool", "clickhouse", nullable=True) == "Nullable(UInt8)" and mapping.target_type("vector(3)", "clickhouse", True) == "Array(Float32)"
+    assert mapping.target_type("bool", "clickhouse", rules={"bool": "Bool"}) == "Bool"
+
+
+def test_ddl_of_keys_indexes_and_constraints():
+    kinds = lambda sql: [c.kind.name for c in evolve.parse(sql)]
+    made = evolve.parse('CREATE TABLE t (id bigint, "a--b" text DEFAULT \'/* x */\', PRIMARY KEY (id)) -- end')
+    assert made[0].columns == (("id", "bigint"), ("a--b", "text")) and made[0].key == ("id",)
+    assert evolve.render(evolve.parse("ALTER TABLE t ADD PRIMARY KEY (id, b)")[0], "postgres") == 'ALTER TABLE "t" ADD PRIMARY KEY ("id", "b")'
+    added = evolve.parse("ALTER TABLE t ADD COLUMN n numeric(9,2)")[0]
+    assert evolve.render(added, "clickhouse", translate=True) == "ALTER TABLE `t` ADD COLUMN `n` Nullable(Decimal(9,2))" and evolve.render(added, "snowflake", translate=True).endswith('"n" NUMBER(9,2)')
+    assert kinds("RENAME TABLE a TO b") == ["RENAME_TABLE"] and kinds("ALTER TABLE t ADD CONSTRAINT c FOREIGN KEY (a) REFERENCES u (b) ON DELETE CASCADE") == ["ALTER_FOREIGN_KEY"]
+    assert kinds("ALTER TABLE t ADD CONSTRAINT c CHECK (a > 0)") == kinds("ALTER TABLE t DROP CONSTRAINT c") == ["ALTER_CONSTRAINTS"] and kinds("ALTER TABLE t ADD CONSTRAINT k PRIMARY KEY (a, b)") == ["SET_KEY"]
+    index = evolve.parse("CREATE UNIQUE INDEX i ON s.t USING btree (a, b)")[0]
+    assert evolve.render(index, "duckdb") == 'CREATE UNIQUE INDEX "i" ON "s"."t" ("a", "b")' and kinds("DROP INDEX IF EXISTS i") == ["DROP_INDEX"]
+    for dialect in ("clickhouse", "snowflake", "spark"):
+        with pytest.raises(evolve.UnsupportedChange):
+            evolve.render(index, dialect)
+    assert kinds("ALTER TABLE t ADD COLUMN constraint_x int") == ["ADD_COLUMN"] and kinds("ALTER TABLE t DROP COLUMN c") == ["DROP_COLUMN"]
+
+
+def test_giving_up_and_heartbeats():
+    tries = []
+
+    def fails():
+        tries.append(1)
+        raise OSError
+
+    with pytest.raises(OSError):
+        apply.with_retry(fails, 3, 0)
+    assert len(tries) == 3
+    with pytest.raises(OSError):
+        apply.with_retry(fails, 3, 0, "never", stop=lambda: len(tries) >= 10)
+    assert len(tries) == 10
+    released = []
+    apply.after_failure("hold", lambda: released.append(1))
+    apply.after_failure("drop", lambda: released.append(2))
+    assert released == [2]
+    assert apply.ends_empty(iter([(5, "a"), (0, None), (0, "b"), (0, None), (7, "c")]), 2) == 4 and apply.ends_empty(iter([(0, None)] * 3), 0) == 3
+
+
+def test_pruning_cascades(spark):
+    m = spark.createDataFrame([(i,) for i in range(6)], "manifest_id long")
+    left = lifecycle.prune(m, m.where("manifest_id < 4"), m.where("manifest_id = 1"), m.union(m), 2)
+    assert [sorted(r.manifest_id for r in t.collect()) for t in left] == [[1, 3, 4, 5], [1, 3], [1, 1, 3, 3, 4, 4, 5, 5]]
