@@ -24,6 +24,7 @@ give no row or no hit; ties of rarity go to the smaller offset; other columns ar
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,23 +65,26 @@ def shards(batch: pa.RecordBatch, col: int, most: int) -> Iterator[pa.RecordBatc
         yield batch.slice(lo)
 
 
-def postings_of(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def postings_of(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Terms in order, how often each occurs, their positions one after another, and the starts of the documents.
 
-    A position is left free after every document, so that no phrase crosses from one to the next.
+    A position is left free after every document, so that no phrase crosses from one to the next. The words of one
+    document are held at a time.
     """
-    vocabulary: dict[bytes, int] = {}
-    ids: list[int] = []
-    starts = np.zeros(len(docs) + 1, np.int64)
-    for k, words in enumerate(docs):
-        ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
-        ids.append(-1)
-        starts[k + 1] = len(ids)
+    vocabulary: defaultdict[bytes, int] = defaultdict()
+    vocabulary.default_factory = vocabulary.__len__
+    ids, starts = [], np.zeros(len(texts) + 1, np.int64)
+    for k, text in enumerate(texts):
+        words = split_alnum(text) if text else []
+        own = np.full(len(words) + 1, -1, np.int32)
+        own[:-1] = np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+        ids.append(own)
+        starts[k + 1] = starts[k] + len(own)
     terms = sorted(vocabulary)
-    rank = np.zeros(len(terms) + 1, np.int64)
-    rank[[vocabulary[t] for t in terms]] = np.arange(len(terms))
+    rank = np.zeros(len(terms) + 1, np.int32)
+    rank[np.fromiter(map(vocabulary.__getitem__, terms), np.int64, len(terms))] = np.arange(len(terms))
     rank[-1] = -1
-    token = rank[np.fromiter(ids, np.int64, len(ids))]
+    token = rank[np.concatenate([*ids, np.zeros(0, np.int32)])]
     at = np.flatnonzero(token >= 0)
     return terms, np.bincount(token[at], minlength=len(terms)), at[np.argsort(token[at], kind="stable")], starts
 
@@ -160,14 +164,13 @@ def build_index(docs: DataFrame, keep: list[str], text_col: str = "text", shard_
         shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in shards(batch, batch.num_columns - 1, most):
-                docs = [split_alnum(t) if t else [] for t in part.column(part.num_columns - 1).to_pylist()]
-                terms, counts, positions, starts = postings_of(docs)
-                k, d = len(terms) + 1, len(docs)
+                terms, counts, positions, starts = postings_of(part.column(part.num_columns - 1).to_pylist())
+                k, d = len(terms) + 1, part.num_rows
                 first = np.concatenate([[0, len(starts)], len(starts) + np.cumsum(counts)])
                 data = _gaps(np.concatenate([starts, positions]), first)
                 lists = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
                 names = [f.name for f in schema]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shard] * d, pa.int64()), pa.array(range(d), pa.int32()), pa.nulls(d, pa.string()), pa.array([len(w) for w in docs], pa.int64()), pa.nulls(d, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shard] * d, pa.int64()), pa.array(range(d), pa.int32()), pa.nulls(d, pa.string()), pa.array(np.diff(starts) - 1, pa.int64()), pa.nulls(d, pa.binary())], names=names)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.nulls(k, c.type) for c in part.columns[:-1]), pa.array([shard] * k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([STARTS, *(t.decode() for t in terms)], pa.string()), pa.array([len(starts), *counts.tolist()], pa.int64()), lists],
                     names=names,
