@@ -9,12 +9,15 @@
    the threshold J meets in a node of depth d with chance of at least J^d per tree; with 8 trees and d = 1 that is
    1 - 0.15^8. A leaf emits at most one candidate edge per member, never its pairs.
 3. Candidate edges, drawn generously (five standard deviations below the threshold), form candidate groups. Every
-   group is compared on full sets: as one unit up to ``CHUNK`` classes, above that as all pairs of chunks, each
-   pair its own unit of bounded size. Units emit one confirmed edge per member at most.
+   group is compared on full sets, in units of bounded size that emit one confirmed edge per member at most. Up to
+   ``CHUNK`` classes are one unit. A larger group is dealt into chunks, and ``PIVOTS`` of its members sit in every chunk:
+   what links to one of them is one component. Only pairs of different components are compared then, chunk by chunk.
 4. Confirmed edges give the components. Both times components are found by alternating star contractions on
    written tables; nothing of them comes to the driver but counts.
 
-Cost: a candidate group of s classes costs s / CHUNK copies of each of its texts in step 3.
+Cost in step 3: a group whose members all link through pivots costs one copy of each text. Otherwise r members outside
+its large components cost r / CHUNK further copies of each text, and components of n and m members a pair of chunks for
+every CHUNK of each: a group of many large components that never link remains quadratic in their chunks.
 
 Defined cases: null texts and texts without words have no shingles, link with nothing and stay; fewer words than a
 shingle count as one shingle; rows that repeat an id are one document; null ids form their classes like others but
@@ -42,6 +45,8 @@ TREES = 8
 LEAF = 256
 DEPTH = 6
 CHUNK = 512
+#: Members of a large group that every chunk of it is compared with, and nodes from which a component is a body.
+PIVOTS, BODY = 16, 128
 #: Pairs of sketches compared at once.
 PAIRS = 20_000
 
@@ -287,15 +292,71 @@ def links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): confirmed edges. groups: (node, root) of candidate groups; classes: key, rep."""
+    """Written table (a, b): confirmed edges, with the components of all links. groups: (node, root) of candidate groups; classes: key, rep."""
     sizes = written(groups.groupBy("root").count())
-    spread = groups.join(sizes, "root").withColumn("chunks", F.ceil(F.col("count") / CHUNK).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # a member of chunk c belongs to the units of all pairs of chunks that c is in
-    units = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        F.col("node").alias("key"), F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("unit")
+    spread = groups.join(sizes, "root")
+    units = written(first_units(spread))
+    first = written(compared(units, classes, docs, percent, width, id_col, text_col))
+    forget(units)
+    # every pair of a small group has been compared; of a large one, those of different components are left
+    large = written(spread.where(F.col("count") > CHUNK).select("node", "root"))
+    forget(sizes)
+    if large.isEmpty():
+        forget(large)
+        return first
+    linked = components(first)
+    named = large.join(linked.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label"))
+    parts = written(named.groupBy("root", "label").count())
+    units = written(open_units(named, parts))
+    rest = written(compared(units, classes, docs, percent, width, id_col, text_col))
+    out = written(first.union(rest))
+    for t in (first, large, linked, parts, units, rest):
+        forget(t)
+    return out
+
+
+def first_units(spread: DataFrame) -> DataFrame:
+    """(key, unit) from (node, root, count): a group up to CHUNK is a unit; a larger one has a unit for each chunk, and its pivots in each."""
+    chunks = F.ceil(F.col("count") / CHUNK).cast("int")
+    own = spread.select(F.col("node").alias("key"), F.xxhash64("root", F.pmod(F.xxhash64("node"), chunks)).alias("unit"))
+    drawn = spread.where(F.col("count") > CHUNK).groupBy("root").agg(
+        F.max("count").alias("count"), F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)])).alias("pivots")
     )
+    numbers = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
+    pivots = drawn.select("root", numbers, "pivots").select("root", "chunk", F.explode("pivots").alias("key"))
+    return own.union(pivots.select("key", F.xxhash64("root", F.col("chunk").cast("long")).alias("unit"))).distinct()
+
+
+def open_units(named: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, unit) for the pairs left in (root, node, label), where (root, label, count) says how many nodes a label has.
+
+    A label with more than BODY nodes is a body of its own, the others of its group are pooled. Units are pairs of a chunk
+    of the pool with any chunk of the group, and pairs of chunks of different bodies: no body meets itself.
+    """
+    body = F.when(F.col("count") > BODY, F.col("label"))
+    groups = parts.groupBy("root").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("root")
+    pooled = parts.join(groups, "root").select("root", "label", body.alias("body"), "count")
+    bodies = written(pooled.groupBy("root", "body").agg(F.ceil(F.sum("count") / CHUNK).cast("int").alias("chunks")))
+    x, y = (bodies.select("root", F.col("body").alias(f"body_{i}"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(f"chunk_{i}")) for i in "xy")
+    of_pool = x.where("body_x IS NULL").join(y, "root").where("body_y IS NOT NULL OR chunk_x <= chunk_y")
+    ordered = bodies.where("body IS NOT NULL")
+    apart = ordered.select("root", F.col("body").alias("body_x"), F.col("chunks").alias("n_x")).join(
+        ordered.select("root", F.col("body").alias("body_y"), F.col("chunks").alias("n_y")), "root"
+    ).where("body_x < body_y")
+    of_bodies = apart.withColumn("chunk_x", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1))).withColumn("chunk_y", F.explode(F.sequence(F.lit(0), F.col("n_y") - 1)))
+    pairs = of_pool.select("root", "body_x", "chunk_x", "body_y", "chunk_y").union(of_bodies.select("root", "body_x", "chunk_x", "body_y", "chunk_y"))
+    pairs = pairs.withColumn("unit", F.xxhash64("root", F.coalesce("body_x", F.lit(b"")), "chunk_x", F.coalesce("body_y", F.lit(b"")), "chunk_y"))
+    sides = pairs.select("root", F.col("body_x").alias("body"), F.col("chunk_x").alias("chunk"), "unit").union(pairs.select("root", "body_y", "chunk_y", "unit"))
+    placed = named.join(pooled.select("root", "label", "body"), ["root", "label"]).join(bodies.withColumnRenamed("body", "b").withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & F.col("body").eqNullSafe(F.col("b")))
+    placed = placed.select("root", "node", F.coalesce("body", F.lit(b"")).alias("body"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
+    sides = sides.withColumn("body", F.coalesce("body", F.lit(b"")))
+    return placed.join(sides, ["root", "body", "chunk"]).select(F.col("node").alias("key"), "unit").distinct()
+
+
+def compared(units: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): a spanning forest of the links on full sets in each unit of (key, unit)."""
     texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).cast("binary").alias("text"))
-    wanted = groups.select(F.col("node").alias("key")).join(classes.select("key", "rep"), "key")
+    wanted = units.select("key").distinct().join(classes.select("key", "rep"), "key")
     held = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("key", "text")
     rows = held.join(units, "key").select("unit", "key", "text")
 
@@ -329,7 +390,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     groups = components(edges)
     for f in found:
         forget(f)
-    real = written(confirmed(groups, classes, docs, percent, width, id_col, text_col))
+    real = confirmed(groups, classes, docs, percent, width, id_col, text_col)
     linked = components(real)
     forget(groups)
     forget(real)
