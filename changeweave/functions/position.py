@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from changeweave.functions.scalars import sha
 
-HALVES = r"^([0-9A-Fa-f]{1,8})/([0-9A-Fa-f]{1,8})$"
+#: Halves are numbers below 2^32, with any number of leading zeros.
+HALVES = r"^0*([0-9A-Fa-f]{1,8})/0*([0-9A-Fa-f]{1,8})$"
 ORDINAL = r"^[0-9]+$"
 
 
@@ -44,7 +45,7 @@ def compare(a: Column, b: Column) -> Column:
 def canonical_py(text: str) -> str:
     """The same on the driver; raises on anything that isn't a position."""
     parts = text.split("/")
-    if len(parts) == 2 and all(1 <= len(p) <= 8 and all(c in "0123456789abcdefABCDEF" for c in p) for p in parts):
+    if len(parts) == 2 and all(p and len(p.lstrip("0")) <= 8 and all(c in "0123456789abcdefABCDEF" for c in p) for p in parts):
         return "/".join((p.lstrip("0") or "0").upper() for p in parts)
     if text.isascii() and text.isdigit():
         return text.lstrip("0") or "0"

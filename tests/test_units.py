@@ -5,9 +5,12 @@ from pyspark.sql.types import StructType
 from changeweave.functions import position, scalars
 from changeweave.operators import artifacts, evolve, lifecycle
 from changeweave.operators import mapping as m
+from changeweave.plans import queries as catalog
 from changeweave.sources import backfill, sinks
 from changeweave.streaming import apply
 
+from .conftest import SF, same
+
 
 def ddl(s):
     return StructType.fromDDL(s)
@@ -24,6 +27,30 @@ def test_positions(spark):
     assert spark.range(1).select(position.text_of(F.lit(0x1_0000_00FF))).first()[0] == "1/FF"
 
 
+def test_positions_with_more_than_eight_digits(spark):
+    good = {"000/005b8d900": "0/5B8D900", "000000001/0000000000FFFFFFFF": "1/FFFFFFFF", "0000000000/000000000": "0/0"}
+    bad = ["0/123456789", "0123456789/0", "00/100000000", "000000000/", "/000000000"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "a string")
+    got = df.select(position.canonical(F.col("a")), position.number(F.col("a")), position.is_position(F.col("a"))).collect()
+    assert [tuple(r) for r in got] == [(c, position.number_py(t), True) for t, c in good.items()] + [(None, None, False)] * len(bad)
+    assert [position.canonical_py(t) for t in good] == list(good.values()) and position.number_py("000/005b8d900") == 0x5B8D900
+    for text in bad:
+        with pytest.raises(ValueError):
+            position.canonical_py(text)
+
+
+@pytest.mark.parametrize("name", ["lsn_canonical", "lsn_numeric"])
+def test_positions_of_large_events(spark, tmp_path, name):
+    import duckdb
+
+    ids = f"{1_048_560 - 2}, {1_048_560}, 5999999, {(1 << 28) - 17}"
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(1).drop("event_id").selectExpr(f"explode(array({ids})) AS event_id", "*").selectExpr("CAST(event_id AS BIGINT) AS event_id", "* EXCEPT (event_id)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert same(catalog.QUERIES[name](spark, str(tmp_path)), con, catalog.ORACLES[name]) == 4
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("yes", "{1, 2.5}", '"a"=>"1", "b"=>NULL'), ("", "[]", ""), (None, None, None)], "b string, v string, h string")
     rows = df.select(scalars.as_bool(F.col("b")), scalars.as_vector(F.col("v")), scalars.as_hstore(F.col("h"))).collect()
