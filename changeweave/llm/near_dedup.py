@@ -12,8 +12,10 @@
    group is compared on full sets, in units of bounded size that emit one confirmed edge per member at most. Up to
    ``CHUNK`` classes are one unit. A larger group is dealt into chunks, and ``PIVOTS`` of its members sit in every chunk:
    what links to one of them is one component. Only pairs of different components are compared then, chunk by chunk.
-4. Confirmed edges give the components. Both times components are found by alternating star contractions on
-   written tables; nothing of them comes to the driver but counts.
+   Of the documents' texts only those of group members move, once: the scan leaves out by a bitmap of fixed size most
+   documents that are in no group, and the join by id the rest of them.
+4. Confirmed edges give the components. Up to ``EDGES`` edges are one task's work; more go through alternating star
+   contractions on written tables. Nothing of them comes to the driver but counts.
 
 Cost in step 3: a group whose members all link through pivots costs one copy of each text. Otherwise r members outside
 its large components cost r / CHUNK further copies of each text, and components of n and m members a pair of chunks for
@@ -49,6 +51,8 @@ CHUNK = 512
 PIVOTS, BODY = 16, 128
 #: Pairs of sketches compared at once.
 PAIRS = 20_000
+#: Edges whose components one task finds, and places of the bitmap that tells which texts are needed (2 MB).
+EDGES, PLACES = 500_000, 1 << 24
 
 
 def shingle_set(text: bytes | None, words: WordHash, width: int) -> np.ndarray:
@@ -221,8 +225,8 @@ def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
         big = met.where(F.col("count") > LEAF)
         if level < DEPTH:
             deeper = written(branch(big.select("key", "sketch", "node"), percent))
-            pool = written(big.groupBy("key").agg(F.min("sketch").alias("sketch")))  # only these are sketched against from here on
             more = not deeper.isEmpty()
+            pool = written(big.groupBy("key").agg(F.min("sketch").alias("sketch"))) if more else None  # only these are sketched against from here on
         else:
             heads = written(big.groupBy("node").agg(F.min("key").alias("b")))
             found.append(written(big.select("node", "key").join(heads, "node").where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
@@ -240,13 +244,40 @@ def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Written table (node, root): root is the smallest node of its component. Nodes without an edge are absent.
+    """Written table (node, root): root is the smallest node of its component. Nodes without an edge are absent."""
+    edges = edges.where("a <> b").select("a", "b")
+    return written(few_components(edges)) if edges.count() <= EDGES else many_components(edges)
+
+
+def few_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges that fit into one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        nodes = pc.unique(pa.chunked_array([*t["a"].chunks, *t["b"].chunks]))
+        nodes = nodes.take(pc.sort_indices(nodes))
+        at = [pc.index_in(t[side], nodes).to_numpy().astype(np.int64) for side in "ab"]
+        label = smallest_labels(len(nodes), *at)
+        for i in range(0, len(nodes), 10_000):
+            yield pa.RecordBatch.from_arrays([nodes[i : i + 10_000], nodes.take(pa.array(label[i : i + 10_000]))], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def many_components(edges: DataFrame) -> DataFrame:
+    """Written table (node, root) of any number of edges.
 
     Alternating star contractions: large stars hang bigger neighbours on the smallest, small stars the smaller ones.
     The edges shrink to stars in O(log n) rounds; each round is written, so no lineage grows. The smallest neighbours are
     written before the edges meet them: both sides of the join are then plain shuffles, and Spark splits a star's centre.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -293,28 +324,59 @@ def links(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]
 
 def confirmed(groups: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """Written table (a, b): confirmed edges, with the components of all links. groups: (node, root) of candidate groups; classes: key, rep."""
-    sizes = written(groups.groupBy("root").count())
-    spread = groups.join(sizes, "root")
+    spread = written(groups.join(groups.groupBy("root").count(), "root"))
+    texts = members(groups, classes, docs, id_col, text_col)
     units = written(first_units(spread))
-    first = written(compared(units, classes, docs, percent, width, id_col, text_col))
+    first = written(compared(units, texts, percent, width))
     forget(units)
     # every pair of a small group has been compared; of a large one, those of different components are left
     large = written(spread.where(F.col("count") > CHUNK).select("node", "root"))
-    forget(sizes)
-    if large.isEmpty():
-        forget(large)
-        return first
-    linked = components(first)
-    named = large.join(linked.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label"))
-    parts = written(named.groupBy("root", "label").count())
-    units = written(open_units(named, parts))
-    rest = written(compared(units, classes, docs, percent, width, id_col, text_col))
-    out = written(first.union(rest))
-    for t in (first, large, linked, parts, units, rest):
+    forget(spread)
+    out, spent = first, [large, texts]
+    if not large.isEmpty():
+        linked = components(first)
+        named = written(large.join(linked.withColumnRenamed("root", "label"), "node", "left").select("root", "node", F.coalesce("label", "node").alias("label")))
+        parts = written(named.groupBy("root", "label").count())
+        spent += [linked, named, parts]
+        if not parts.groupBy("root").count().where("count > 1").isEmpty():
+            units = written(open_units(named, parts))
+            rest = written(compared(units, texts, percent, width))
+            out = written(first.union(rest))
+            spent += [first, units, rest]
+    for t in spent:
         forget(t)
     return out
 
 
+def members(groups: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written table (key, text): the texts of what is in a group, so that other texts are not shuffled."""
+    wanted = written(groups.select(F.col("node").alias("key")).join(classes.select("key", "rep"), "key"))
+    texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).cast("binary").alias("text"))
+    held = sifted(texts, wanted)
+    out = written(held.join(wanted, held["rep"].eqNullSafe(wanted["rep"])).select("key", "text"))
+    forget(wanted)
+    return out
+
+
+def sifted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of texts (rep, text) whose rep is in wanted, and the few others whose hash has a place in common with one of them."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(PLACES))
+    pages = wanted.select(F.shiftright(place, 15).alias("page"), place.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    marks = np.zeros((-(-PLACES // 32768), 4096), np.uint8)
+    for x in pages.collect():  # 2 MB at most, however many are wanted
+        marks[x.page] = np.frombuffer(x.bits, np.uint8)
+    marks = marks.ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = (marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            if keep.any():
+                yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
+
+    return texts.select("rep", "text", place.alias("place")).mapInArrow(run, texts.schema)
+
+
 def first_units(spread: DataFrame) -> DataFrame:
     """(key, unit) from (node, root, count): a group up to CHUNK is a unit; a larger one has a unit for each chunk, and its pivots in each."""
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
@@ -353,12 +415,9 @@ def open_units(named: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(sides, ["root", "body", "chunk"]).select(F.col("node").alias("key"), "unit").distinct()
 
 
-def compared(units: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest of the links on full sets in each unit of (key, unit)."""
-    texts = docs.select(quoted(id_col).alias("rep"), quoted(text_col).cast("binary").alias("text"))
-    wanted = units.select("key").distinct().join(classes.select("key", "rep"), "key")
-    held = texts.join(wanted, texts["rep"].eqNullSafe(wanted["rep"])).select("key", "text")
-    rows = held.join(units, "key").select("unit", "key", "text")
+def compared(units: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """(a, b): a spanning forest of the links on full sets in each unit of (key, unit). texts: key, text."""
+    rows = texts.join(units, "key").select("unit", "key", "text")
 
     def unit(rows: pa.Table) -> pa.Table:
         import xxhash

@@ -91,3 +91,29 @@ def test_open_units_hold_every_open_pair_and_no_body_with_itself(spark, monkeypa
     met = {(i, j) for u in units.values() for i in u for j in u if i < j}
     assert all((i, j) in met for i in range(len(rows)) for j in range(i + 1, len(rows)) if labels[i] != labels[j])
     assert not any(all(labels[i] == label for i in u) and len(u) > 5 for u in units.values() for label in (b"A", b"B"))
+
+
+def test_few_edges_are_one_table(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, keep=near_dedup.written: made.append(1) or keep(df))
+    r = random.Random(8)
+    edges = spark.createDataFrame([(r.randrange(90).to_bytes(2, "big"), r.randrange(90).to_bytes(2, "big")) for _ in range(60)], "a binary, b binary").repartition(3)
+    few = {bytes(x.node): bytes(x.root) for x in near_dedup.components(edges).collect()}
+    assert len(made) == 1 and few
+    monkeypatch.setattr(near_dedup, "EDGES", 0)
+    assert few == {bytes(x.node): bytes(x.root) for x in near_dedup.components(edges).collect()} and len(made) > 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_only_texts_of_groups_are_moved(spark, monkeypatch, kind):
+    docs = spark.range(2000).selectExpr(f"cast(id AS {kind}) AS doc_id", "concat('text ', id) AS text").union(spark.sql(f"SELECT cast(NULL AS {kind}), 'text of no id'")).repartition(3)
+    classes = docs.selectExpr("cast(text AS binary) AS key", "doc_id AS rep")
+    groups = classes.where("rep IS NULL OR cast(rep AS long) % 100 = 7").selectExpr("key AS node", "key AS root")
+    want = {bytes(x.node) for x in groups.collect()}
+    texts = docs.selectExpr("doc_id AS rep", "cast(text AS binary) AS text")
+    wanted = classes.join(groups, classes["key"] == groups["node"]).select("key", "rep")
+    assert len(want) == 21 and {bytes(x.text) for x in near_dedup.sifted(texts, wanted).collect()} >= want and near_dedup.sifted(texts, wanted).count() <= 25
+    assert near_dedup.sifted(texts, wanted.limit(0)).count() == 0
+    for places in (near_dedup.PLACES, 1 << 3):  # with few places most rows have one in common
+        monkeypatch.setattr(near_dedup, "PLACES", places)
+        assert sorted((bytes(x.key), bytes(x.text)) for x in near_dedup.members(groups, classes, docs, "doc_id", "text").collect()) == sorted((k, k) for k in want)
