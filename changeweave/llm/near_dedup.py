@@ -53,6 +53,8 @@ PIVOTS, BODY = 16, 128
 PAIRS = 20_000
 #: Edges whose components one task finds, and places of the bitmap that tells which texts are needed (2 MB).
 EDGES, PLACES = 500_000, 1 << 24
+#: Sketches from which a level leaves out those that it no longer needs.
+POOL = 20_000
 
 
 def shingle_set(text: bytes | None, words: WordHash, width: int) -> np.ndarray:
@@ -212,21 +214,23 @@ def leaf_edges(rows: DataFrame, least: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int) -> list[DataFrame]:
-    """Written tables of candidate edges (a, b) between class keys. classes: key, sketch."""
+    """Written tables of candidate edges (a, b) between class keys; an edge may come more than once. classes: key, sketch."""
     j = percent / 100
     least = math.floor(COORDINATES * j - 5 * math.sqrt(COORDINATES * j * (1 - j)))
-    found, rows, pool = [], written(branch(classes, percent, TREES)), classes
+    found, rows, pool, held = [], written(branch(classes, percent, TREES)), classes, classes.count()
     for level in range(1, DEPTH + 1):
         sizes = written(rows.groupBy("node").count().where("count > 1"))  # written, so that Spark can split a hot node in the join
         met = written(rows.join(sizes, "node").join(pool, "key"))
-        if pool is not classes:
-            forget(pool)
-        found.append(written(leaf_edges(met.where(F.col("count") <= LEAF), least).distinct()))
+        found.append(written(leaf_edges(met.where(F.col("count") <= LEAF), least)))
         big = met.where(F.col("count") > LEAF)
         if level < DEPTH:
             deeper = written(branch(big.select("key", "sketch", "node"), percent))
             more = not deeper.isEmpty()
-            pool = written(big.groupBy("key").agg(F.min("sketch").alias("sketch"))) if more else None  # only these are sketched against from here on
+            if more and held > POOL:  # only these are sketched against from here on
+                spent, pool = pool, written(big.groupBy("key").agg(F.min("sketch").alias("sketch")))
+                if spent is not classes:
+                    forget(spent)
+                held = pool.count()
         else:
             heads = written(big.groupBy("node").agg(F.min("key").alias("b")))
             found.append(written(big.select("node", "key").join(heads, "node").where("key <> b").select(F.col("key").alias("a"), "b").distinct()))
@@ -386,7 +390,7 @@ def first_units(spread: DataFrame) -> DataFrame:
     )
     numbers = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk")
     pivots = drawn.select("root", numbers, "pivots").select("root", "chunk", F.explode("pivots").alias("key"))
-    return own.union(pivots.select("key", F.xxhash64("root", F.col("chunk").cast("long")).alias("unit"))).distinct()
+    return own.union(pivots.select("key", F.xxhash64("root", F.col("chunk").cast("long")).alias("unit")))  # a pivot is in its own chunk twice
 
 
 def open_units(named: DataFrame, parts: DataFrame) -> DataFrame:
@@ -408,11 +412,13 @@ def open_units(named: DataFrame, parts: DataFrame) -> DataFrame:
     of_bodies = apart.withColumn("chunk_x", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1))).withColumn("chunk_y", F.explode(F.sequence(F.lit(0), F.col("n_y") - 1)))
     pairs = of_pool.select("root", "body_x", "chunk_x", "body_y", "chunk_y").union(of_bodies.select("root", "body_x", "chunk_x", "body_y", "chunk_y"))
     pairs = pairs.withColumn("unit", F.xxhash64("root", F.coalesce("body_x", F.lit(b"")), "chunk_x", F.coalesce("body_y", F.lit(b"")), "chunk_y"))
-    sides = pairs.select("root", F.col("body_x").alias("body"), F.col("chunk_x").alias("chunk"), "unit").union(pairs.select("root", "body_y", "chunk_y", "unit"))
+    sides = pairs.select("root", F.col("body_x").alias("body"), F.col("chunk_x").alias("chunk"), "unit").union(
+        pairs.where(~(F.col("body_x").eqNullSafe(F.col("body_y")) & (F.col("chunk_x") == F.col("chunk_y")))).select("root", "body_y", "chunk_y", "unit")  # a chunk with itself has one side
+    )
     placed = named.join(pooled.select("root", "label", "body"), ["root", "label"]).join(bodies.withColumnRenamed("body", "b").withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & F.col("body").eqNullSafe(F.col("b")))
     placed = placed.select("root", "node", F.coalesce("body", F.lit(b"")).alias("body"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     sides = sides.withColumn("body", F.coalesce("body", F.lit(b"")))
-    return placed.join(sides, ["root", "body", "chunk"]).select(F.col("node").alias("key"), "unit").distinct()
+    return placed.join(sides, ["root", "body", "chunk"]).select(F.col("node").alias("key"), "unit")
 
 
 def compared(units: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:

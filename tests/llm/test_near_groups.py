@@ -117,3 +117,19 @@ def test_only_texts_of_groups_are_moved(spark, monkeypatch, kind):
     for places in (near_dedup.PLACES, 1 << 3):  # with few places most rows have one in common
         monkeypatch.setattr(near_dedup, "PLACES", places)
         assert sorted((bytes(x.key), bytes(x.text)) for x in near_dedup.members(groups, classes, docs, "doc_id", "text").collect()) == sorted((k, k) for k in want)
+
+
+def test_small_pools_are_not_written_again(spark, monkeypatch):
+    """Deeper levels give the same edges from the sketches at hand as from those that are still needed, in fewer tables."""
+    docs = spark.createDataFrame(list(enumerate(alike(random.Random(4), 30, "a") + drifting(random.Random(5), 30, "b"))), "doc_id long, text string")
+    classes = near_dedup.written(near_dedup.sketches(docs, 5, "doc_id", "text").select("key", "sketch"))
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    monkeypatch.setattr(near_dedup, "DEPTH", 3)
+    made, seen = [], []
+    monkeypatch.setattr(near_dedup, "written", lambda df, keep=near_dedup.written: made.append(1) or keep(df))
+    for pool in (0, 1000):
+        monkeypatch.setattr(near_dedup, "POOL", pool)
+        made.clear()
+        found = near_dedup.candidates(classes, 85)
+        seen.append((len(made), sorted({(bytes(x.a), bytes(x.b)) for t in found for x in t.collect()})))
+    assert seen[0][1] == seen[1][1] != [] and seen[1][0] == seen[0][0] - 2
