@@ -12,10 +12,10 @@
    group is compared on full sets, in units of bounded size that emit one confirmed edge per member at most. Up to
    ``CHUNK`` classes are one unit. A larger group is dealt into chunks, and ``PIVOTS`` of its members sit in every chunk:
    what links to one of them is one component. Only pairs of different components are compared then, chunk by chunk.
-   Of the documents' texts only those of group members move, once: the scan leaves out by a bitmap of fixed size most
-   documents that are in no group, and the join by id the rest of them.
+   Only the texts of group members are shuffled: one scan leaves out by a bitmap of fixed size (2 MB, which comes to the
+   driver) most documents that are in no group, the join by id leaves out the rest, and the units read that table.
 4. Confirmed edges give the components. Up to ``EDGES`` edges are one task's work; more go through alternating star
-   contractions on written tables. Nothing of them comes to the driver but counts.
+   contractions on written tables. Of the edges only counts come to the driver.
 
 Cost in step 3: a group whose members all link through pivots costs one copy of each text. Otherwise r members outside
 its large components cost r / CHUNK further copies of each text, and components of n and m members a pair of chunks for
